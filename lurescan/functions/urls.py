@@ -7,6 +7,10 @@ from .unicode import idna_decode_label, nfkc
 
 # scheme, authority, path, query; the fragment is matched and dropped
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+_INSIDE = r"\[([^\]]*)"
+_PORT = r"(?s)^(?:\[[^\]]*\])?[^:]*:(.*)$"
+_BRACKETED = r"^\[([^\]]*)\]"
+_WELL_PLACED = r"(?s)^\[[^\]]*\](?::.*)?$"
 _IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!$)|$)){4}"
 _GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
 _NUMBER = rf"(?:{DIGIT}+|0x[^.]*)"
@@ -50,13 +54,13 @@ def host_port(authority: str) -> str:
 
 def host_of(hostport: str) -> str:
     """Host in lower case: no brackets, no port, no trailing dots."""
-    inside = f"regexp_extract({hostport}, {quote(r'[[]([^]]*)')}, 1)"
+    inside = f"regexp_extract({hostport}, {quote(_INSIDE)}, 1)"
     name = f"IF(contains({hostport}, '['), {inside}, substring_index({hostport}, ':', 1))"
     return f"lower(trim(TRAILING '.' FROM {name}))"
 
 
 def port_of(hostport: str) -> str:
-    text = f"regexp_extract({hostport}, {quote(r'(?s)^(?:[[][^]]*[]])?[^:]*:(.*)$')}, 1)"
+    text = f"regexp_extract({hostport}, {quote(_PORT)}, 1)"
     number = f"IF({text} RLIKE '^[0-9]+$', try_cast({text} AS BIGINT), NULL)"
     return f"IF(contains({hostport}, ':') AND {number} <= 65535, CAST({number} AS INT), NULL)"
 
@@ -84,8 +88,8 @@ def is_ip(host: str) -> str:
 def is_malformed(authority: str, hostport: str) -> str:
     """Unbalanced or misplaced brackets, a bracketed host that is no address, or characters that
     turn into delimiters under compatibility normalisation."""
-    inside = f"lower(regexp_extract({hostport}, {quote(r'^[[]([^]]*)[]]')}, 1))"
-    placed = f"{hostport} RLIKE {quote(r'(?s)^[[][^]]*[]](?::.*)?$')}"
+    inside = f"lower(regexp_extract({hostport}, {quote(_BRACKETED)}, 1))"
+    placed = f"{hostport} RLIKE {quote(_WELL_PLACED)}"
     address = f"({is_ipv6(inside)} OR {inside} RLIKE {quote(r'^v[0-9a-f]+[.].+$')})"
     brackets = f"IF(contains({authority}, '[') OR contains({authority}, ']'), NOT (contains({authority}, '[') AND {placed} AND {address}), false)"
     plain = f"translate({authority}, '@:#?', '')"

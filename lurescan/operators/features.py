@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from .. import dims
 from ..functions import urls as U
-from ..functions.distance import may_swap, osa_table, swapped_pairs
+from ..functions.distance import osa_table, swapped_pairs
 from ..functions.text import (
     add,
     count_char,
@@ -20,6 +20,7 @@ from ..functions.text import (
 )
 from .lookalike import find
 from .parts import with_parts
+from .skew import per_distinct
 
 # schemes whose last path segment may carry ;parameters
 _PARAM_SCHEMES = ["", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "rtspu", "sip", "sips", "mms", "sftp", "tel"]
@@ -70,15 +71,29 @@ def brand_similarity(label: str, brands=dims.BRANDS) -> str:
     table = table_literal(rows, "brand:string,len:double,swaps:array<string>")
     scored = f"transform({table}, b -> named_struct('b', b, 'd', levenshtein({label}, b.brand)))"
     plain = "greatest(best, 1 - s.d / s.b.len)"
-    hope = f"1 - greatest(ceil(s.d / 2), abs(length({label}) - s.b.len)) / s.b.len"
+    # swaps cannot save more than their number, nor more than half of the plain distance
+    swaps = f"aggregate(s.b.swaps, 0, (n, w) -> n + length({label}) - length(replace({label}, w, ''))) / 2"
+    hope = f"1 - greatest(ceil(s.d / 2), s.d - {swaps}, abs(length({label}) - s.b.len)) / s.b.len"
     exact = f"greatest(best, 1 - {osa_table(label, 's.b.brand')} / s.b.len)"
-    improve = f"IF(s.d > 1 AND {hope} > best AND {may_swap(label, 's.b.swaps')}, {exact}, best)"
+    improve = f"IF(s.d > 1 AND 1 - ceil(s.d / 2) / s.b.len > best AND {hope} > best, {exact}, best)"
     return f"""aggregate(array({scored}), 0D, (unused, all) -> aggregate(all,
         aggregate(all, 0D, (best, s) -> {plain}), (best, s) -> {improve}))"""
 
 
+def with_similarity(df: DataFrame, brands=dims.BRANDS) -> DataFrame:
+    """Adds ``brand_similarity`` (F39). The costly score is computed once per distinct label and joined
+    back without skew; a stream cannot be grouped and joined like that, so there it is done in the row."""
+    sql = f"round({brand_similarity('domain', brands)}, 4)"
+    if df.isStreaming:
+        return add(df, {"brand_similarity": f"IF(domain <> '' AND NOT is_ip, {sql}, 0D)"})
+    key = "IF(domain <> '' AND NOT is_ip, domain, NULL)"
+    df = add(df, {"_label_key": key})
+    scored = per_distinct(df, "_label_key", {"brand_similarity": sql.replace("domain", "_label_key")})
+    return add(scored, {"brand_similarity": "coalesce(brand_similarity, 0D)"}).drop("_label_key")
+
+
 def v2_columns(url: str = "url", brands=dims.BRANDS) -> dict[str, str]:
-    """Second-generation features of a table that has parts and findings."""
+    """Second-generation features of a table that has parts, findings and brand similarity."""
     text = f"`{url}`"
     top = "substring_index(suffix, '.', -1)"
     # platform names have two or three labels
@@ -114,7 +129,7 @@ def v2_columns(url: str = "url", brands=dims.BRANDS) -> dict[str, str]:
         "sensitive_words": f"size(array_intersect(split(lower({text}), '[^a-z0-9]+'), {str_array(dims.SENSITIVE_WORDS)}))",
         "php_or_html": r"lower(path) RLIKE '[.](php|html?|aspx?)$'",
         "email_in_url": f"substr({text}, length(scheme) + 4) RLIKE {quote(_EMAIL)}",
-        "brand_similarity": f"IF(domain <> '' AND NOT is_ip, round({brand_similarity('domain', brands)}, 4), 0D)",
+        "brand_similarity": "brand_similarity",
         "lookalike_severity": "lookalike_severity",
         "official_brand_domain": in_list("registered", dims.official_domains(brands)),
     }
@@ -125,6 +140,8 @@ def with_features(df: DataFrame, url: str = "url", names=dims.FEATURES, brands=d
 
     Unchosen features are not computed.
     """
+    if "brand_similarity" in names:
+        df = with_similarity(df, brands)
     sql = {**v1_columns(url), **v2_columns(url, brands)}
     return add(_split_v1(df, url), {n: f"CAST({sql[n]} AS DOUBLE)" for n in names}).drop(*_SPLIT_V1)
 

@@ -56,7 +56,7 @@ def _suffix_length() -> str:
 def split_host(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Subdomain, domain, suffix and registered domain of ``host``."""
     rules = suffix_rules(df.sparkSession) if rules is None else rules
-    keep = [f"`{c}`" for c in df.columns]
+    keep = [f"`{c}`" for c in df.columns if c not in ("suffix", "domain", "subdomain", "registered")]
     # other full stops that name resolution treats as a dot
     df = df.selectExpr(*keep, "translate(host, '。．｡', '...') AS _dotted")
     df = df.selectExpr("*", f"IF(is_ip OR host = '', 0, {count_char('_dotted', '.')} + 1) AS _n")

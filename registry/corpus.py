@@ -62,10 +62,9 @@ page_fake AS (
     THEN concat(label, '-login.', suffix) ELSE host0 END AS fake_host
   FROM page_host),
 url_corpus AS (
-  SELECT 4 * i AS url_id, url, 'legitimate' AS status FROM page_fake
-  UNION ALL SELECT 4 * i + 1, concat('https://', fake_host, rest), 'phishing' FROM page_fake
-  UNION ALL SELECT 4 * i + 2, concat('https://www.', home, rest), 'legitimate' FROM page_fake
-  UNION ALL SELECT 4 * i + 3, CASE CAST(i % 8 AS INT)
+  SELECT 4 * i + v.v AS url_id,
+    CASE v.v WHEN 0 THEN url WHEN 1 THEN concat('https://', fake_host, rest) WHEN 2 THEN concat('https://www.', home, rest)
+    ELSE CASE CAST(i % 8 AS INT)
       WHEN 0 THEN concat('http://10.', CAST(i % 256 AS VARCHAR(20)), '.', CAST(CAST(floor(i / 256) AS BIGINT) % 256 AS VARCHAR(20)), '.7:8080/login.php')
       WHEN 1 THEN concat('http://0x7f.0x0.0x0.0x', CAST(1 + CAST(floor(i / 8) AS BIGINT) % 9 AS VARCHAR(20)), '/verify')
       WHEN 2 THEN concat('https://bit.ly/', CAST(i AS VARCHAR(20)))
@@ -73,7 +72,9 @@ url_corpus AS (
       WHEN 4 THEN concat('http://a.b.secure.login', CAST(i AS VARCHAR(20)), '.example.org/confirm/password')
       WHEN 5 THEN concat('http://site', CAST(i AS VARCHAR(20)), '.example.net/x?user=u', CAST(i AS VARCHAR(20)), '@mail.com')
       WHEN 6 THEN concat('http://xn--pypal-4ve.com/signin/', CAST(i AS VARCHAR(20)))
-      ELSE concat('evil', CAST(i AS VARCHAR(20)), '.example/', brand, '/login') END, 'phishing' FROM page_fake)"""
+      ELSE concat('evil', CAST(i AS VARCHAR(20)), '.example/', brand, '/login') END END AS url,
+    CASE WHEN v.v IN (1, 3) THEN 'phishing' ELSE 'legitimate' END AS status
+  FROM page_fake p JOIN (VALUES (0, 0), (0, 1), (0, 2), (0, 3)) AS v(half, v) ON v.half = floor(p.kind / 9))"""
 
 # text rows with defects: no host, malformed authority, odd ports, no scheme, raw Unicode, comments
 EDGE_URLS = (
