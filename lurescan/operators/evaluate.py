@@ -13,7 +13,6 @@ from ..functions.text import add
 
 RANGES = 256
 GRID = 10_000
-_DIV = "greatest({}, 1)"
 
 
 def metrics_at(scores: DataFrame, t: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
@@ -41,34 +40,36 @@ def confusion(scores: DataFrame, t: float = 0.5) -> DataFrame:
     return m.selectExpr("stack(4, 0, 0, tn, 0, 1, fp, 1, 0, fn, 1, 1, tp) AS (y, predicted, n)")
 
 
-def cumulative(scores: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """Per distinct score: ``pos``, ``neg`` at it and ``cum_pos``, ``cum_neg`` at or above it."""
-    per_score = scores.where("p IS NOT NULL").groupBy("p").agg(
+def cumulative(scores: DataFrame, by: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
+    """Per group and distinct score: ``pos``, ``neg`` at it and ``cum_pos``, ``cum_neg`` at or above it."""
+    per_score = scores.where("p IS NOT NULL").groupBy(*by, "p").agg(
         F.expr("count_if(y = 1)").alias("pos"), F.expr("count_if(y = 0)").alias("neg")
     )
     # cut points of similar weight, at most `ranges` numbers on the driver: they stay balanced when
     # scores crowd together, and as constants they are the same in both uses below
     cuts = sorted(set(per_score.approxQuantile("p", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    literal = f"from_json('{cuts}', 'array<double>')"
-    ranged = add(per_score, {"_range": f"size(filter({literal}, c -> c > p))"})
-    totals = ranged.groupBy("_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = "OVER (ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = totals.selectExpr("_range", f"coalesce(sum(_p) {above}, 0) AS _p0", f"coalesce(sum(_n) {above}, 0) AS _n0")
-    inside = "OVER (PARTITION BY _range ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ranged = add(per_score, {"_range": f"size(filter(from_json('{cuts}', 'array<double>'), c -> c > p))"})
+    group = ", ".join(f"`{c}`" for c in by)
+    totals = ranged.groupBy(*by, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    part = f"PARTITION BY {group} " if by else ""
+    above = f"OVER ({part}ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = totals.selectExpr(*by, "_range", f"coalesce(sum(_p) {above}, 0) AS _p0", f"coalesce(sum(_n) {above}, 0) AS _n0")
+    inside = f"OVER (PARTITION BY {group + ', ' if by else ''}_range ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     fine = add(ranged, {"_cp": f"sum(pos) {inside}", "_cn": f"sum(neg) {inside}"})
-    # one row per range: bounded by `ranges`
-    return fine.join(F.broadcast(offsets), "_range").selectExpr("p", "pos", "neg", "_cp + _p0 AS cum_pos", "_cn + _n0 AS cum_neg")
+    # at most `ranges` rows per group
+    return fine.join(offsets if by else F.broadcast(offsets), [*by, "_range"]).selectExpr(
+        *by, "p", "pos", "neg", "_cp + _p0 AS cum_pos", "_cn + _n0 AS cum_neg"
+    )
 
 
-def roc_auc(scores: DataFrame) -> DataFrame:
-    """Area under the ROC curve with ties counted half."""
-    c = cumulative(scores)
-    area = c.agg(
+def roc_auc(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the ROC curve with ties counted half (E2), one row per group."""
+    area = cumulative(scores, by).groupBy(*by).agg(
         F.expr("sum(CAST(neg AS DOUBLE) * (cum_pos - pos + pos / 2))").alias("_area"),
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
     )
-    return area.selectExpr("positives", "negatives", "round(_area / (positives * negatives), 6) AS roc_auc")
+    return area.selectExpr(*by, "positives", "negatives", "round(_area / (positives * negatives), 6) AS roc_auc")
 
 
 def _with_totals(scores: DataFrame) -> DataFrame:

@@ -19,21 +19,29 @@ def by_site(df: DataFrame, k: int = 5, seed: int = 42, site: str = "site") -> Da
     return add(df, {"fold": f"CAST(pmod({_hash(f'`{site}`', seed)}, {k}) AS INT)"})
 
 
-def stratified(df: DataFrame, k: int = 5, seed: int = 42, label: str = "y", key: str = "url") -> DataFrame:
-    """Adds ``fold``: random folds whose sizes differ by at most one row per class (M8).
+def hash_rank(df: DataFrame, name: str, key: str, seed, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds a random but repeatable rank 0..n-1 per group.
 
-    The rank of a row in its class is the total of the smaller hash ranges plus its place inside its
-    own range of about 1/4096 of the class, so no task orders a whole class.
+    The rank is the total of the smaller hash ranges plus the place inside the row's own range of
+    about 1/4096 of the group, so no task orders a whole group. ``key`` must identify a row.
     """
+    group = "".join(f"`{c}`, " for c in by)
     hashed = add(df, {"_h": f"md5(concat({quote(f'{seed}|')}, CAST(`{key}` AS STRING)))"})
     hashed = add(hashed, {"_range": "substr(_h, 1, 3)"})
-    totals = hashed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = f"OVER (PARTITION BY `{label}` ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = totals.selectExpr(f"`{label}`", "_range", f"coalesce(sum(_n) {before}, 0) AS _offset")
-    place = f"row_number() OVER (PARTITION BY `{label}`, _range ORDER BY _h, `{key}`)"
-    # 4,096 ranges per class: a bounded table
-    ranked = add(hashed, {"_place": place}).join(F.broadcast(offsets), [label, "_range"])
-    return ranked.selectExpr(*[f"`{c}`" for c in df.columns], f"CAST((_offset + _place - 1) % {k} AS INT) AS fold")
+    totals = hashed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    part = f"PARTITION BY {group[:-2]} " if by else ""
+    before = f"OVER ({part}ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = totals.selectExpr(*by, "_range", f"coalesce(sum(_n) {before}, 0) AS _offset")
+    placed = add(hashed, {"_place": f"row_number() OVER (PARTITION BY {group}_range ORDER BY _h, `{key}`)"})
+    # 4,096 ranges per group: a bounded table for the few groups this is used with
+    ranked = placed.join(F.broadcast(offsets), [*by, "_range"])
+    return ranked.selectExpr(*[f"`{c}`" for c in df.columns], f"_offset + _place - 1 AS `{name}`")
+
+
+def stratified(df: DataFrame, k: int = 5, seed: int = 42, label: str = "y", key: str = "url") -> DataFrame:
+    """Adds ``fold``: random folds whose sizes differ by at most one row per class (M8)."""
+    ranked = hash_rank(df, "_rank", key, seed, (label,))
+    return add(ranked, {"fold": f"CAST(_rank % {k} AS INT)"}).drop("_rank")
 
 
 def holdout_by_site(df: DataFrame, share: float = 0.2, seed: int = 42, site: str = "site") -> DataFrame:
