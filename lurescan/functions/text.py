@@ -110,3 +110,16 @@ def add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds or replaces columns given as SQL text, in one projection."""
     kept = [f"`{c}`" for c in df.columns if c not in columns]
     return df.selectExpr(*kept, *[f"{sql} AS `{name}`" for name, sql in columns.items()])
+
+
+def add_once(df: DataFrame, columns: dict[str, str], drop=()) -> DataFrame:
+    """Like ``add``, with the new columns coming out of a one-row generator.
+
+    The optimizer copies the definition of a column into every filter on it and pushes that towards
+    the scan, which repeats costly expressions many times over when definitions build on each other.
+    It does not push through a generator, so these columns are computed once per row and filters on
+    the other columns still reach the scan.
+    """
+    kept = [f"`{c}`" for c in df.columns if c not in columns and c not in drop]
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return df.selectExpr(*kept, f"inline(array(named_struct({fields})))")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from ..dims import BRANDS, MULTI_TENANT, official_domains
 from ..functions.distance import osa_within, swapped_pairs
 from ..functions.skeleton import base_form, skeletons
-from ..functions.text import NO_STRINGS, add, in_list, str_array, table_literal, words
+from ..functions.text import NO_STRINGS, add, add_once, in_list, str_array, table_literal, words
 
 MAX_LITERAL_BRANDS = 5_000
 FINDING_TYPE = "array<struct<brand:string,technique:string,severity:string,detail:string>>"
@@ -49,11 +49,11 @@ def label_columns(df: DataFrame, brands=BRANDS, tenants=MULTI_TENANT) -> DataFra
     """Gate, tenant flag, displayed label, words and skeletons of every row."""
     # the displayed label stands in front of the suffix in the Unicode host
     shown = "substring_index(substring_index(unicode_host, '.', -(size(split(suffix, '[.]')) + 1)), '.', 1)"
-    df = add(df, {"_gate": gate(brands, tenants), "_tenant": in_list("registered", tenants)})
+    df = add_once(df, {"_gate": gate(brands, tenants), "_tenant": in_list("registered", tenants)})
     df = add(df, {"_shown": f"CASE WHEN NOT _gate THEN '' WHEN suffix <> '' THEN {shown} ELSE domain END"})
-    df = add(df, {"_label_base": base_form("domain"), "_shown_base": base_form("_shown")})
+    df = add_once(df, {"_label_base": base_form("domain"), "_shown_base": base_form("_shown")})
     path_words = f"array_distinct({words("concat_ws(' ', path, query)")})"
-    return add(
+    return add_once(
         df,
         {
             "_label_words": words("_shown"),
@@ -82,7 +82,7 @@ def match_columns(df: DataFrame, brands=BRANDS, tenants=MULTI_TENANT) -> DataFra
     def on_label(hits: str) -> str:
         return f"IF(_gate AND NOT _tenant, {hits}, {NO_STRINGS})"
 
-    return add(
+    return add_once(
         label_columns(df, brands, tenants),
         {
             "_same": on_label(f"array_intersect(array(domain), {names})"),
@@ -141,7 +141,7 @@ def find(df: DataFrame, brands=BRANDS, tenants=MULTI_TENANT, keep_matches: bool
     stronger = f"IF({_rank('p[1].severity')} > {_rank('p[0].severity')}, p[1], p[0])"
     df = add(df, {"_found": f"transform(_pairs, p -> {stronger})"})
     levels = ", ".join(f"filter(_found, f -> f.severity = '{s}')" for s in ("high", "medium", "low"))
-    df = add(df, {"lookalike": f"IF(size(_found) < 2, _found, concat({levels}))"})
+    df = add_once(df, {"lookalike": f"IF(size(_found) < 2, _found, concat({levels}))"})
     extra = [*_HITS, "_label_words", "_sub_words", "_path_words", "_shapes", "_shown"] if keep_matches else []
     return df.selectExpr(*cols, *extra, "lookalike", f"{strongest('lookalike')} AS lookalike_severity")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.text import add, count_char
+from ..functions.text import add, add_once, count_char
 from ..sources.psl import EXCEPTION, MAX_LABELS, PLAIN, WILDCARD, suffix_rules
 
 PART_FIELDS = (
@@ -19,24 +19,26 @@ PART_FIELDS = (
 
 
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
-    """Scheme, host, port, path and query (P1-P7, P10 flags): one projection, no join."""
-    keep = df.columns
+    """Scheme, host, port, path and query (P1-P7, P10 flags): projections only, no join."""
+    df = df.drop(*PART_FIELDS)
     df = add(df, {"_clean": U.drop_unsafe(U.with_scheme(f"`{url}`"))})
-    df = add(df, {"_authority": U.authority_of("_clean")})
+    df = add(df, {"_authority": U.authority_of("_clean"), "_path": U.path_of("_clean"), "_query": U.query_of("_clean"), "_scheme": U.scheme_of("_clean")})
     df = add(df, {"_hostport": U.host_port("_authority")})
-    df = add(
+    df = add(df, {"_host": U.host_of("_hostport")})
+    return add_once(
         df,
         {
-            "scheme": U.scheme_of("_clean"),
-            "host": U.host_of("_hostport"),
+            "scheme": "_scheme",
+            "host": "_host",
             "port": U.port_of("_hostport"),
-            "path": U.path_of("_clean"),
-            "query": U.query_of("_clean"),
+            "path": "_path",
+            "query": "_query",
             "parse_error": U.is_malformed("_authority", "_hostport"),
+            "unicode_host": U.unicode_host("_host"),
+            "is_ip": U.is_ip("_host"),
         },
+        drop=("_clean", "_authority", "_path", "_query", "_scheme", "_hostport", "_host"),
     )
-    parts = ["scheme", "host", "port", "path", "query", "parse_error"]
-    return df.selectExpr(*[f"`{c}`" for c in keep if c not in PART_FIELDS], *parts, f"{U.unicode_host('host')} AS unicode_host", f"{U.is_ip('host')} AS is_ip")
 
 
 def _suffix_length() -> str:
@@ -69,13 +71,18 @@ def split_host(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     # an unlisted top-level domain counts as a suffix of one label
     df = df.selectExpr(*keep, "_dotted", "_n", "IF(_listed = 0 AND contains(host, '.') AND _n > 0, 1, _listed) AS _take")
     reg = "substring_index(_dotted, '.', -(_take + 1))"
-    df = df.selectExpr(
-        *keep,
-        "IF(_n = 0 OR _take = 0, '', substring_index(_dotted, '.', -_take)) AS suffix",
-        f"CASE WHEN _n = 0 THEN host WHEN _n > _take THEN substring_index({reg}, '.', 1) ELSE '' END AS domain",
-        f"IF(_n > _take + 1, substr(_dotted, 1, length(_dotted) - length({reg}) - 1), '') AS subdomain",
+    suffix = "IF(_n = 0 OR _take = 0, '', substring_index(_dotted, '.', -_take))"
+    domain = f"CASE WHEN _n = 0 THEN host WHEN _n > _take THEN substring_index({reg}, '.', 1) ELSE '' END"
+    return add_once(
+        df,
+        {
+            "suffix": suffix,
+            "domain": domain,
+            "subdomain": f"IF(_n > _take + 1, substr(_dotted, 1, length(_dotted) - length({reg}) - 1), '')",
+            "registered": f"IF(_n > _take AND _take > 0, {reg}, host)",
+        },
+        drop=("_dotted", "_n", "_take"),
     )
-    return df.selectExpr("*", "IF(domain <> '' AND suffix <> '', concat(domain, '.', suffix), host) AS registered")
 
 
 def with_parts(df: DataFrame, url: str = "url", rules: DataFrame | None = None) -> DataFrame:
