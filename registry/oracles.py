@@ -26,19 +26,19 @@ t0 AS (SELECT *, trim(url) AS raw FROM {table}),
 t1 AS (SELECT *, CASE WHEN strpos(substr(raw, 1, 16), '://') > 0 THEN raw ELSE 'http://' || raw END AS clean FROM t0),
 t2 AS (SELECT *, lower(substr(clean, 1, strpos(clean, '://') - 1)) AS scheme,
   split_part(substr(clean, strpos(clean, '://') + 3), '#', 1) AS body FROM t1),
-t3 AS (SELECT *, split_part(body, '?', 1) AS front, CASE WHEN strpos(body, '?') > 0 THEN substr(body, strpos(body, '?') + 1) ELSE '' END AS query FROM t2),
+t3 AS MATERIALIZED (SELECT *, split_part(body, '?', 1) AS front, CASE WHEN strpos(body, '?') > 0 THEN substr(body, strpos(body, '?') + 1) ELSE '' END AS query FROM t2),
 t4 AS (SELECT *, split_part(front, '/', 1) AS authority, CASE WHEN strpos(front, '/') > 0 THEN substr(front, strpos(front, '/')) ELSE '' END AS path FROM t3),
 t5 AS (SELECT *, list_last(string_split(authority, '@')) AS hp, (contains(authority, '[') <> contains(authority, ']')) AS parse_error FROM t4),
-t6 AS (SELECT *, lower(rtrim(CASE WHEN starts_with(hp, '[') THEN split_part(substr(hp, 2), ']', 1) ELSE split_part(hp, ':', 1) END, '.')) AS host,
+t6 AS MATERIALIZED (SELECT *, lower(rtrim(CASE WHEN starts_with(hp, '[') THEN split_part(substr(hp, 2), ']', 1) ELSE split_part(hp, ':', 1) END, '.')) AS host,
   CASE WHEN starts_with(hp, '[') THEN split_part(hp, ']:', 2) ELSE split_part(hp, ':', 2) END AS port_text FROM t5),
 t7 AS (SELECT *, CASE WHEN TRY_CAST(port_text AS INT) BETWEEN 0 AND 65535 THEN TRY_CAST(port_text AS INT) END AS port,
   replace(host, 'xn--pypal-4ve', 'pаypal') AS unicode_host,
   (contains(host, ':') OR regexp_full_match(host, '([0-9]+|0x[^.]*)(\.([0-9]+|0x[^.]*)){{0,3}}')) AS is_ip FROM t6),
-t8 AS (SELECT *, CASE WHEN is_ip OR host = '' THEN '' ELSE regexp_extract(host, '(?:^|\.)({suffixes})$', 1) END AS listed FROM t7),
+t8 AS MATERIALIZED (SELECT *, CASE WHEN is_ip OR host = '' THEN '' ELSE regexp_extract(host, '(?:^|\.)({suffixes})$', 1) END AS listed FROM t7),
 t9 AS (SELECT *, CASE WHEN is_ip OR host = '' THEN '' WHEN listed = '' AND contains(host, '.') THEN list_last(string_split(host, '.')) ELSE listed END AS suffix FROM t8),
 t10 AS (SELECT *, CASE WHEN suffix = '' THEN host WHEN suffix = host THEN '' ELSE substr(host, 1, length(host) - length(suffix) - 1) END AS before FROM t9),
-t11 AS (SELECT *, CASE WHEN is_ip THEN host ELSE list_last(string_split(before, '.')) END AS domain FROM t10),
-p AS (SELECT *, CASE WHEN is_ip OR length(before) <= length(domain) THEN '' ELSE substr(before, 1, length(before) - length(domain) - 1) END AS subdomain,
+t11 AS MATERIALIZED (SELECT *, CASE WHEN is_ip THEN host ELSE list_last(string_split(before, '.')) END AS domain FROM t10),
+p AS MATERIALIZED (SELECT *, CASE WHEN is_ip OR length(before) <= length(domain) THEN '' ELSE substr(before, 1, length(before) - length(domain) - 1) END AS subdomain,
   CASE WHEN NOT is_ip AND domain <> '' AND suffix <> '' THEN domain || '.' || suffix ELSE host END AS registered FROM t11)"""
 
 
@@ -124,7 +124,7 @@ ON_CORPUS = f"{CORPUS}, {parts('url_corpus')}"
 ON_RAW = f"{RAW}, {parts('url_raw')}"
 SITE = "CASE WHEN registered <> '' THEN registered ELSE url END"
 VALID = "(raw <> '' AND host <> '' AND NOT parse_error)"
-LABELLED = f"{ON_CORPUS}, l AS (SELECT url_id, url, status, CASE WHEN status = 'phishing' THEN 1 ELSE 0 END AS y, {SITE} AS site FROM p)"
+LABELLED = f"{ON_CORPUS}, l AS MATERIALIZED (SELECT url_id, url, status, CASE WHEN status = 'phishing' THEN 1 ELSE 0 END AS y, {SITE} AS site FROM p)"
 
 
 def _count(c: str, ch: str) -> str:
@@ -368,6 +368,21 @@ ORACLES = {
     "stream_requests": f"""{ON_CORPUS}, {MATCH}, {_REQUESTS} SELECT verdict, count(*) AS n FROM (
       SELECT CASE WHEN u.sev = 3 THEN 'phishing' ELSE 'legitimate' END AS verdict FROM rq JOIN per_url u ON u.url_id = rq.request_id WHERE form IN (0, 1, 4)
       UNION ALL SELECT 'legitimate' FROM rq WHERE form = 0 UNION ALL SELECT 'rejected' FROM rq WHERE form IN (2, 3, 5, 6)) GROUP BY 1""",
+    **{name: f"""{BIG}, numbered AS MATERIALIZED (SELECT row_number() OVER () AS url_id, url FROM url_big), {parts('numbered')}, {MATCH} {tail}""" for name, tail in (
+        ("big_log_findings", "SELECT technique, severity, count(*) AS n FROM findings GROUP BY 1, 2"),
+        ("big_log_verdicts", "SELECT CASE WHEN sev = 3 THEN 'phishing' ELSE 'legitimate' END AS verdict, count(*) AS urls, count(DISTINCT registered) AS sites FROM per_url GROUP BY 1"))},
+    "gen_lookalikes": f"""{ON_CORPUS}, homes AS (SELECT DISTINCT registered AS home, split_part(registered, '.', 1) AS label, substr(registered, strpos(registered, '.') + 1) AS ending FROM p WHERE status = 'legitimate' AND domain <> ''),
+      spots AS (SELECT *, unnest(range(1, length(label) + 1)) AS i FROM homes),
+      made AS (SELECT home, label, ending, 'omission' AS technique, substr(label, 1, i - 1) || substr(label, i + 1) AS m FROM spots
+        UNION SELECT home, label, ending, 'repetition', substr(label, 1, i) || substr(label, i) FROM spots
+        UNION SELECT home, label, ending, 'transposition', substr(label, 1, i - 1) || label[i + 1] || label[i] || substr(label, i + 2) FROM spots WHERE i < length(label)
+        UNION SELECT home, label, ending, 'hyphenation', substr(label, 1, i) || '-' || substr(label, i + 1) FROM spots WHERE i < length(label)
+        UNION SELECT home, label, ending, 'replacement', substr(label, 1, i - 1) || v || substr(label, i + 1) FROM spots, (SELECT unnest(['a', 'e', 'i', 'o', 'u']) AS v) WHERE v <> label[i]
+        UNION SELECT home, label, ending, 'homoglyph', substr(label, 1, i - 1) || g || substr(label, i + 1) FROM spots JOIN (VALUES ('o', '0'), ('l', '1'), ('i', '1'), ('e', '3'), ('m', 'rn'), ('w', 'vv')) AS x(c, g) ON label[i] = c
+        UNION SELECT home, label, ending, 'combosquat', unnest([label || '-' || w, w || '-' || label, label || w]) FROM homes, (SELECT unnest([{_list(dims.COMBO_WORDS)}]) AS w))
+      SELECT home AS name, home, technique, 'https://' || m || '.' || ending || '/' AS url FROM made WHERE m <> label AND length(m) >= 2 AND m || '.' || ending NOT IN (SELECT official FROM ({OFFICIAL_DIM}))
+      UNION ALL SELECT home, home, 'subdomain', unnest(['https://' || home || '.account-verify.com/signin', 'https://' || label || '.secure-login.com/signin']) FROM homes
+      UNION ALL SELECT home, home, 'tld-swap', 'https://' || label || '.' || t || '/' FROM homes, (SELECT unnest([{_list(dims.SWAP_TLDS)}]) AS t) WHERE label || '.' || t NOT IN (SELECT official FROM ({OFFICIAL_DIM}))""",
     "parts_packed": f"{ON_CORPUS} SELECT url_id, host, registered, is_ip FROM p",
 }
 ORACLES["threshold_sweep"] = ORACLES["report_roundtrip"]
