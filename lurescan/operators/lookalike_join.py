@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..dims import MULTI_TENANT
 from ..functions.distance import osa_within, swapped_pairs_of
 from ..functions.skeleton import base_form, skeletons
-from ..functions.text import NO_STRINGS, add, in_list, words
+from ..functions.text import NO_STRINGS, add, add_once, in_list, words
+from ..plans.storage import stable
 from .skew import spread_join
 
 MAX_LABEL = 63  # a DNS label is no longer than this
@@ -46,7 +47,7 @@ def _brand_keys(brands: DataFrame) -> DataFrame:
         array(named_struct('rule', 7, 'key', brand), named_struct('rule', 8, 'key', brand), named_struct('rule', 10, 'key', brand)),
         IF(NOT word_only AND len > 4, array(named_struct('rule', 11, 'key', brand)), array()),
         transform({spelt}, x -> named_struct('rule', 9, 'key', x)))"""
-    return b.selectExpr("ord", "brand", "edits", f"inline({keys})")
+    return add_once(b, {"_keys": keys}).selectExpr("ord", "brand", "edits", "inline(_keys)")
 
 
 def _label_keys(labels: DataFrame, longest: int) -> DataFrame:
@@ -57,13 +58,14 @@ def _label_keys(labels: DataFrame, longest: int) -> DataFrame:
     affixes = f"array_distinct(concat(transform({ends}, n -> left(domain, n)), transform({ends}, n -> right(domain, n))))"
     # labels of 5 and 6 letters can only be one edit from a brand of 6 or more
     near = f"IF(length(domain) BETWEEN 5 AND {longest + 2}, {deletion_keys('domain', 'IF(length(domain) >= 7, 2, 1)')}, {NO_STRINGS})"
-    based = add(labels, {"label_base": base_form("domain"), "shown_base": base_form("shown")})
-    arrays = add(
+    based = add_once(labels, {"label_base": base_form("domain"), "shown_base": base_form("shown")})
+    arrays = add_once(
         based,
         {"_r7": "array(domain)", "_r8": shapes, "_r9": near, "_r10": f"IF(size({words('shown')}) > 1, {words('shown')}, {NO_STRINGS})", "_r11": affixes},
     )
     every = ", ".join(tag(r, f"_r{r}") for r in (7, 8, 9, 10, 11))
-    return arrays.selectExpr("domain", "shown", f"inline(array_distinct(concat({every})))")
+    keyed = add_once(arrays, {"_keys": f"array_distinct(concat({every}))"})
+    return keyed.selectExpr("domain", "shown", "inline(_keys)")
 
 
 def label_findings(labels: DataFrame, brands: DataFrame, longest: int = MAX_LABEL) -> DataFrame:
@@ -92,12 +94,13 @@ def candidate_hosts(df: DataFrame, brands: DataFrame, tenants=MULTI_TENANT) -> D
     official = brands.select(F.explode("official").alias("registered")).distinct().where(f"NOT {in_list('registered', tenants)}")
     hosts = hosts.join(official, "registered", "left_anti").join(brands.select(F.col("brand").alias("suffix")), "suffix", "left_anti")
     shown = "substring_index(substring_index(unicode_host, '.', -(size(split(suffix, '[.]')) + 1)), '.', 1)"
-    return add(hosts, {"shown": f"IF(suffix <> '', {shown}, domain)", "tenant": in_list("registered", tenants), "sub_words": f"array_distinct({words('subdomain')})"})
+    return add_once(hosts, {"shown": f"IF(suffix <> '', {shown}, domain)", "tenant": in_list("registered", tenants), "sub_words": f"array_distinct({words('subdomain')})"})
 
 
 def find_by_keys(df: DataFrame, brands: DataFrame, key: str = "url_id", tenants=MULTI_TENANT, longest: int = MAX_LABEL) -> DataFrame:
     """One row per finding ``(key, ord, brand, technique, severity)`` for a table with parts."""
-    hosts = candidate_hosts(df, brands, tenants)
+    # the hosts are read five times below: written once, so that the URLs are parsed once for them
+    hosts = stable(candidate_hosts(df, brands, tenants), "hosts")
     labels = hosts.where("NOT tenant").select("domain", "shown").distinct()
     on_label = hosts.where("NOT tenant").select("host", "domain", "shown").join(label_findings(labels, brands, longest), ["domain", "shown"])
     inside = "exists(official, d -> contains(concat(subdomain, '.'), concat(d, '.')))"
@@ -111,16 +114,14 @@ def find_by_keys(df: DataFrame, brands: DataFrame, key: str = "url_id", tenants=
     best = f"max_by(named_struct('technique', technique, 'severity', severity), named_struct('s', {_RANK}, 'e', -stage))"
     per_host = per_host.groupBy("host", "ord", "brand").agg(F.expr(best).alias("f"))
     per_host = per_host.groupBy("host").agg(F.collect_list(F.expr("named_struct('ord', ord, 'brand', brand, 'technique', f.technique, 'severity', f.severity)")).alias("found"))
-    known = hosts.select("host", "urls", "sub_words").join(per_host, "host", "left")
-    # back to the URLs; only hosts that pass the gate are in `known`
+    known = stable(hosts.select("host", "urls", "sub_words").join(per_host, "host", "left"), "host-findings")
+    # back to the URLs in one pass; hosts that fail the gate are not in `known`
     urls = spread_join(df.select(key, "host", "path", "query"), known, "host", "urls", ["found", "sub_words"]).where("sub_words IS NOT NULL")
-    from_host = urls.where("found IS NOT NULL").selectExpr(f"`{key}`", "inline(found)")
-    path_words = urls.selectExpr(f"`{key}`", "found", f"explode(array_except({words("concat_ws(' ', path, query)")}, sub_words)) AS brand")
-    # a finding of any other kind is at least as strong as one in the path and comes first
-    on_path = (
-        path_words.where("length(brand) > 4")
-        .join(brands.select("ord", "brand"), "brand")
-        .where("NOT coalesce(exists(found, f -> f.ord = ord), false)")
-    )
-    on_path = on_path.selectExpr(f"`{key}`", "ord", "brand", "'brand-in-path' AS technique", "'low' AS severity")
-    return from_host.select(key, "ord", "brand", "technique", "severity").unionByName(on_path)
+    # words of the path count unless the subdomain names the brand or a finding of another kind,
+    # which is at least as strong and comes first, exists for it
+    words_left = f"array_except(array_except({words("concat_ws(' ', path, query)")}, sub_words), transform(coalesce(found, array()), f -> f.brand))"
+    path = "named_struct('ord', CAST(NULL AS INT), 'brand', w, 'technique', 'brand-in-path', 'severity', 'low')"
+    items = add_once(urls, {"_items": f"concat(coalesce(found, array()), transform(filter({words_left}, w -> length(w) > 4), w -> {path}))"})
+    rows = items.selectExpr(f"`{key}`", "inline(_items)").withColumnRenamed("ord", "_ord")
+    named = rows.join(brands.select("ord", "brand"), "brand").where("_ord IS NULL OR _ord = ord")
+    return named.select(key, "ord", "brand", "technique", "severity")

@@ -123,4 +123,9 @@ def duckdb_with(table: str) -> str:
 def load(spark, sf_dir: str, table: str = "url_corpus"):
     """A fixture table as a DataFrame over the given Parquet files."""
     files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("pages", "events", "lineitem")}
-    return spark.sql(f"WITH {TABLE_CTES[table].format(**files)} SELECT * FROM {table}")
+    df = spark.sql(f"WITH {TABLE_CTES[table].format(**files)} SELECT * FROM {table}")
+    # a small table is a single file with a single split: use the other cores as well
+    base = {"clicks": "events", "url_big": "lineitem"}.get(table, "pages")
+    cores = spark.sparkContext.defaultParallelism
+    splits = spark.read.parquet(f"{sf_dir}/{base}.parquet").rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
