@@ -140,7 +140,7 @@ def with_features(df: DataFrame, url: str = "url", names=dims.FEATURES, brands=d
 
     Unchosen features are not computed.
     """
-    if "brand_similarity" in names:
+    if "brand_similarity" in names and "brand_similarity" not in df.columns:
         df = with_similarity(df, brands)
     sql = {**v1_columns(url), **v2_columns(url, brands)}
     return add(_split_v1(df, url), {n: f"CAST({sql[n]} AS DOUBLE)" for n in names}).drop(*_SPLIT_V1)
@@ -150,5 +150,7 @@ def extract(df: DataFrame, url: str = "url", names=dims.FEATURES, brands=dims.BR
     """URL table -> the same rows with the chosen features only (F42): parse, match, compute."""
     keep = df.columns
     df = with_parts(df, url, rules)
+    if "brand_similarity" in names:
+        df = with_similarity(df, brands)  # before matching, so that its own pass over the URLs only parses them
     df = find(df, brands) if "lookalike_severity" in names else add(df, {"lookalike_severity": "0"})
     return with_features(df, url, names, brands).select(*keep, *names)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.text import add
 from ..operators import evaluate, folds, ngrams, profile
-from ..operators.features import v1_features, with_features
+from ..operators.features import v1_features, with_features, with_similarity
 from ..operators.lookalike import find
 from ..operators.parts import site_key, with_parts
 from .storage import stable
@@ -142,6 +142,10 @@ class Detector:
     def threshold(self) -> float:
         return self.meta.get("threshold", 0.5)
 
+    @property
+    def needs_similarity(self) -> bool:
+        return "features" in self.parts
+
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``p`` to a prepared table (``prepare``)."""
         cols = df.columns
@@ -157,7 +161,8 @@ class Detector:
     def score_urls(self, df: DataFrame) -> DataFrame:
         """Adds ``p`` to a table that has only ``url``."""
         cols = df.columns
-        return self.score_parts(find(with_parts(df))).select(*cols, "p")
+        parsed = with_similarity(with_parts(df)) if self.needs_similarity else with_parts(df)
+        return self.score_parts(find(parsed)).select(*cols, "p")
 
 
 def combine(columns: list[str]) -> str:
@@ -179,7 +184,7 @@ def add_features(df: DataFrame, kind: str) -> DataFrame:
 def prepare(df: DataFrame) -> DataFrame:
     """Labelled URLs ``(url_id, url, status)`` -> one stored row per distinct URL with label, site and
     every feature. Folds and models reuse it; nothing in it is fitted."""
-    parsed = find(with_parts(profile.with_label(profile.first_per_url(df.where("url IS NOT NULL")))))
+    parsed = find(with_similarity(with_parts(profile.with_label(profile.first_per_url(df.where("url IS NOT NULL"))))))
     full = v1_features(with_features(parsed), names=("has_ip", "is_shortened"))
     names = tuple(dict.fromkeys([*dims.V1_FEATURES, *dims.FEATURES]))
     return stable(add(full.where("NOT parse_error"), {"site": site_key()}).select("url_id", "url", "y", "site", *names), "features")
