@@ -55,8 +55,8 @@ def count_char(c: str, ch: str) -> str:
 
 
 def is_ascii(c: str) -> str:
-    # one byte per character exactly when the text is ASCII: no regex needed
-    return f"(octet_length({c}) = length({c}))"
+    # one byte per character exactly when the text is ASCII: no regex needed; a missing text counts as such
+    return f"coalesce(octet_length({c}) = length({c}), true)"
 
 
 def count_digits(c: str) -> str:
