@@ -15,6 +15,7 @@ Blocks bound the memory of a task: a block holds ``block_bytes`` of text, or one
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import stable
+from ..plans.storage import scratch_path
 
 BLOCK_BYTES = 12 << 20
 
 
 def to_body(batch: pa.RecordBatch | pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
         out.write(batch)
     return sink.getvalue().to_pybytes()
 
@@ -65,7 +66,10 @@ def _cut(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int) -> Iter
 
 
 def pack(docs: DataFrame, columns: list[str], text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block bigint, n bigint, body binary``: the given columns of every row, written once."""
+    """``block bigint, n bigint, body binary``: the given columns of every row, written once.
+
+    The table is bucketed by block, so a cogroup by block reads it in place and shuffles the other side only.
+    """
     narrow = docs.select(*[F.col(f"`{c}`") for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +78,12 @@ def pack(docs: DataFrame, columns: list[str], text: str = "text", block_bytes: i
             table = table.combine_chunks()
             yield pa.RecordBatch.from_pydict({"block": [base + i], "n": [table.num_rows], "body": [to_body(table)]})
 
-    return stable(narrow.mapInArrow(run, "block bigint, n bigint, body binary"), "blocks")
+    spark = docs.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    made = narrow.mapInArrow(run, "block bigint, n bigint, body binary")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made.write.bucketBy(buckets, "block").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
+    return spark.table(name)
 
 
 def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:

@@ -15,6 +15,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,22 +91,26 @@ def _pieces(path: str) -> list[bytes]:
     return out
 
 
-def encode_words(blocks: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``block, answer``: for each block and bucket, distinct words and their ids."""
-    buckets = max(8, blocks.count())
+def _texts(table: pa.Table, text: str) -> list[str]:
+    return [t or "" for t in table.column(text).to_pylist()]
+
+
+def asked_words(split: Iterator[list[str]], buckets: int) -> list[tuple[int, list[str]]]:
+    """A block's distinct words, ascending, for each bucket that they fall to."""
+    parts: dict[int, list[str]] = {}
+    for word in sorted(set(chain.from_iterable(split))):
+        parts.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+    return sorted(parts.items())
+
+
+def encode_words(blocks: DataFrame, path: str, buckets: int, text: str = "text") -> DataFrame:
+    """``block, bucket, answer``: the ids of the words that a block asked a bucket for, in its order."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter(path)
         for block, table in tables(batches):
-            distinct: set[str] = set()
-            for chunk in table.column(text).to_pylist():
-                if chunk:
-                    distinct.update(split(chunk))
-            parts: dict[int, list[str]] = {}
-            for word in sorted(distinct):
-                parts.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
-            bodies = [to_body(pa.record_batch({"word": pa.array(words)})) for words in parts.values()]
-            yield pa.RecordBatch.from_pydict({"bucket": list(parts), "block": [block] * len(parts), "body": bodies}, schema)
+            parts = asked_words(map(_splitter(path), _texts(table, text)), buckets)
+            bodies = [to_body(pa.record_batch({"word": pa.array(words)})) for _, words in parts]
+            yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in parts], "block": [block] * len(parts), "body": bodies}, schema)
 
     def answer(rows: pa.Table) -> pa.Table:
         tokenizer = _tokenizer(path)
@@ -115,28 +120,28 @@ def encode_words(blocks: DataFrame, path: str, text: str = "text") -> DataFrame:
         for i in range(0, len(words), ENCODE_BATCH):
             some = words[i : i + ENCODE_BATCH]
             ids.update(zip(some, (e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        bodies = [to_body(pa.record_batch({"word": pa.array(part), "ids": pa.array([ids[w] for w in part], pa.list_(pa.int32()))})) for part in asked]
-        return pa.table({"block": rows.column("block"), "answer": pa.array(bodies, pa.binary())})
+        bodies = [to_body(pa.record_batch({"ids": pa.array([ids[w] for w in part], pa.list_(pa.int32()))})) for part in asked]
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "answer": pa.array(bodies, pa.binary())})
 
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("body", pa.binary())])
     asked = blocks.mapInArrow(ask, "bucket int, block bigint, body binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "block bigint, answer binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, answer binary")
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids and the decoded text."""
     blocks = pack(docs, [id_column, text], text, block_bytes)
-    answers = stable(encode_words(blocks, path, text), "word-ids")
+    buckets = max(8, blocks.count())
+    answers = stable(encode_words(blocks, path, buckets, text), "word-ids")
 
     def finish(block: pa.Table, got: pa.Table) -> pa.Table:
-        split, pieces = _splitter(path), _pieces(path)
+        pieces = _pieces(path)
         table = from_body(block.column("body")[0].as_buffer())
-        place: dict[str, int] = {}
+        docs_words = list(map(_splitter(path), _texts(table, text)))
+        place = {w: i for i, w in enumerate(chain.from_iterable(words for _, words in asked_words(docs_words, buckets)))}
         flat, sizes = [], []
-        for body in got.column("answer"):
+        for _, body in sorted(zip(got.column("bucket").to_pylist(), got.column("answer"), strict=True), key=lambda r: r[0]):
             part = from_body(body.as_buffer())
-            for word in part.column("word").to_pylist():
-                place[word] = len(place)
             lists = part.column("ids").chunk(0) if part.num_rows else pa.array([], pa.list_(pa.int32()))
             sizes.append(np.diff(lists.offsets.to_numpy()))
             flat.append(lists.flatten().to_numpy())
@@ -144,8 +149,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
         size = np.concatenate(sizes).astype("int64") if sizes else np.zeros(0, "int64")
         first = np.cumsum(size) - size
         out: dict[str, list] = {c: [] for c in names}
-        for doc, value in zip(table.column(id_column).to_pylist(), table.column(text).to_pylist(), strict=True):
-            words = split(value or "")
+        for doc, words in zip(table.column(id_column).to_pylist(), docs_words, strict=True):
             at = np.fromiter(map(place.__getitem__, words), "int64", len(words))
             n = size[at]
             start = np.repeat(first[at] - (np.cumsum(n) - n), n)
