@@ -20,7 +20,7 @@ Steps, none of which gathers a group in one task or makes all pairs of one:
    hash, differently for three families of bands, so large groups get many different stars.
 4. Components so far. In buckets that still hold several components, everyone outside the bucket's largest
    is verified against every member of another component. Signatures that agree in less than ``floor`` of
-   their components are passed over there (for a pair at 0.8, over six standard deviations down).
+   their components are passed over there (for a pair at 0.8, over five standard deviations down).
 5. Components again. Every linked pair that shares a bucket now lies in one class.
 
 Rows without words are classes of their own. Null ids get a null class. Rows that repeat an id and text
@@ -45,6 +45,8 @@ _U = np.uint64
 SLICE_BYTES = 4 << 20
 #: pairs verified together in one group, about
 VERIFY_PAIRS = 2_000
+#: nodes of a bucket on each side of a block of pairs, about
+CHUNK = 256
 
 
 def shingles(table: pa.Table | pa.RecordBatch, text: str, size: int):
@@ -136,6 +138,13 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = moved.select("node", F.col("next").alias("label"))
 
 
+def similar(name: np.ndarray, weight: np.ndarray, s: slice, t: slice, threshold: float) -> bool:
+    """Whether the weighted Jaccard index of two runs of distinct names reaches the threshold."""
+    _, p, q = np.intersect1d(name[s], name[t], assume_unique=True, return_indices=True)
+    common = int(np.minimum(weight[s][p], weight[t][q]).sum())
+    return common >= threshold * (int(weight[s].sum()) + int(weight[t].sum()) - common)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose texts' weighted Jaccard index reaches the threshold.
 
@@ -161,16 +170,73 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
                 continue
             j = leader[b[i]]
             s, t = slice(edges[i], edges[i + 1]), slice(edges[j], edges[j + 1])
-            _, p, q = np.intersect1d(name[s], name[t], assume_unique=True, return_indices=True)
-            common = int(np.minimum(weight[s][p], weight[t][q]).sum())
-            if common >= threshold * (int(weight[s].sum()) + int(weight[t].sum()) - common):
+            if similar(name, weight, s, t, threshold):
                 out.append((x, b[i]))
         return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
 
     return left.unionByName(right).groupBy("deal").applyInArrow(run, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 26, rows: int = 5, shingle: int = 5, floor: float = 0.55) -> DataFrame:
+def between(held: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, shingle: int, rows: int, alike: int) -> DataFrame:
+    """Pairs of labels (a, b) that a verified link joins, for all pairs of nodes in a bucket with different
+    labels whose signatures agree in at least ``alike`` components.
+
+    A bucket's nodes outside its main label meet all its nodes in blocks of CHUNK by CHUNK, so that a task
+    holds few rows, and no row is made for a pair. A pair is looked at in the first band that it shares, and
+    not again once its labels are joined in the same task.
+    """
+    inner, outer = F.ceil(F.col("all") / CHUNK), F.ceil(F.col("others") / CHUNK)
+    one = held.where("label <> main").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), inner - 1)).alias("i"), F.pmod(F.xxhash64("node"), outer).alias("j"), F.lit(True).alias("outside"))
+    two = held.select("*", F.pmod(F.xxhash64("node"), inner).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), outer - 1)).alias("j"), F.lit(False).alias("outside"))
+    dealt = stable(one.unionByName(two), "blocks-of-pairs")
+    groups = max(8, dealt.count() // (4 * VERIFY_PAIRS))
+    full = dealt.join(nodes.select("node", "signature"), "node").join(texts, "node")
+    full = full.select(F.pmod(F.xxhash64("bucket", "band", "i", "j"), F.lit(groups)).alias("deal"), "bucket", "band", "i", "j", "outside", "node", "label", "main", "signature", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        told = {c: table.column(c).to_numpy() for c in ("bucket", "band", "i", "j", "node", "label", "main")}
+        outside = np.asarray(table.column("outside").to_pylist(), bool)
+        signature = np.stack(table.column("signature").to_numpy())
+        order = np.lexsort((told["j"], told["i"], told["band"], told["bucket"]))
+        same = np.ones(max(len(order) - 1, 0), bool)
+        for c in ("bucket", "band", "i", "j"):
+            same &= told[c][order][1:] == told[c][order][:-1]
+        found: list[tuple[int, int]] = []
+        for group in np.split(order, np.flatnonzero(~same) + 1):
+            left, right = group[outside[group]], group[~outside[group]]
+            band = int(told["band"][group[0]])
+            for x in left.tolist():
+                equal = signature[right] == signature[x]
+                first = np.ones(len(right), bool)
+                for k in range(band):
+                    first &= ~equal[:, k * rows : (k + 1) * rows].all(axis=1)
+                own = told["label"][right]
+                ok = first & (own != told["label"][x]) & ((own == told["main"][right]) | (told["node"][x] < told["node"][right])) & (equal.sum(axis=1) >= alike)
+                found += [(x, y) for y in right[ok].tolist()]
+        needed = sorted({i for pair in found for i in pair})
+        doc, name, weight, _, _ = shingles(table.select(["text"]).take(needed), "text", shingle)
+        edges = np.searchsorted(doc, np.arange(len(needed) + 1))
+        at = {x: i for i, x in enumerate(needed)}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in found:
+            p, q = root(int(told["label"][x])), root(int(told["label"][y]))
+            if p != q and similar(name, weight, slice(edges[at[x]], edges[at[x] + 1]), slice(edges[at[y]], edges[at[y] + 1]), threshold):
+                parent[max(p, q)] = min(p, q)
+                out.append((int(told["label"][x]), int(told["label"][y])))
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+
+    return stable(full.groupBy("deal").applyInArrow(run, "a bigint, b bigint"), "label-links")
+
+
+def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 26, rows: int = 5, shingle: int = 5, floor: float = 0.6) -> DataFrame:
     """One row per document: ``id_column, mark, class_id``; class_id is the smallest id of its class.
 
     ``mark`` is xxhash64 of the text, which with the id names the row.
@@ -183,7 +249,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thre
     seats = nodes.select("node", F.posexplode(keys).alias("band", "bucket"))
     leads = F.min(F.struct(F.xxhash64("node", F.col("band") % 3).alias("h"), "node"))["node"]
     buckets = seats.groupBy("bucket", "band").agg(F.count("*").alias("size"), leads.alias("leader")).where("size > 1")
-    seats = stable(seats.join(buckets, ["bucket", "band"]).select("bucket", "size", "node", "leader"), "seats")
+    seats = stable(seats.join(buckets, ["bucket", "band"]).select("bucket", "band", "size", "node", "leader"), "seats")
     crowd = seats.select("node").distinct()
     wanted = crowd.join(nodes.select("node", "id", "k1", "k2"), "node")
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
@@ -194,20 +260,15 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thre
 
     stars = stable(seats.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
     links = stable(verified(stars, texts, threshold, shingle), "links")
-    labels = stable(components(crowd, links), "labels")
-
-    held = seats.where("size > 2").select("bucket", "node").join(labels, "node")
-    shares = held.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    largest = shares.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    held = stable(held.join(largest.select("bucket", "main"), "bucket").join(nodes.select("node", "signature"), "node"), "open")
-    out = held.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("signature").alias("sa"))
-    other = held.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("signature").alias("sb"), (F.col("label") == F.col("main")).alias("inside"))
-    alike = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x)) >= int(floor * bands * rows)
-    rest = out.join(other, (out.bucket == other.bucket) & (F.col("la") != F.col("lb")) & (F.col("inside") | (F.col("a") < F.col("b"))) & alike).select("a", "b").distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = stable(verified(stable(rest, "rest"), texts, threshold, shingle), "links")
-    joined = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-    merged = components(labels.select(F.col("label").alias("node")).distinct(), joined.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    labels = components(crowd, links)
+
+    held = seats.where("size > 2").select("bucket", "band", "node").join(labels, "node")
+    shares = held.groupBy("bucket", "band", "label").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "label"))
+    open_ = shares.groupBy("bucket", "band").agg(largest["label"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - largest["n"]).alias("others"), F.count("*").alias("labels")).where("labels > 1")
+    held = stable(held.join(open_, ["bucket", "band"]).select("bucket", "band", "node", "label", "main", "all", "others"), "open")
+    joined = between(held, nodes, texts, threshold, shingle, rows, int(floor * bands * rows))
+    merged = components(labels.select(F.col("label").alias("node")).distinct(), joined)
     final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("class")), "label").select("node", "class")
     final = nodes.select("node", "id", "k1", "k2").join(final, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = final.groupBy("class").agg(F.min("id").alias("class_id"))
