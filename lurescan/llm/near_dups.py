@@ -80,7 +80,7 @@ def signatures(doc: np.ndarray, name: np.ndarray, weight: np.ndarray, docs: int,
     k = np.arange(len(owner)) - np.repeat(np.cumsum(ranges) - ranges, ranges)
     rate = np.where(k > 0, 2.0 ** (k - 1), 1.0)
     base = np.where(k > 0, rate, 0.0)
-    state = mix(name[owner] + k.astype("uint64") * _U(0x9E3779B97F4A7C15))
+    state = mix(mix(name)[owner] ^ k.astype("uint64") * _U(0xA24BAED4963EE407))
     keep = (weight[owner] - base) / rate  # the part of the range that lies below the weight; over 1: all
     place = doc[owner] * size
     time = np.zeros(len(owner))

@@ -103,12 +103,16 @@ def _terms(words: list[set[bytes]], bad: np.ndarray) -> dict[bytes, float]:
         for w in some:
             counts.setdefault(w, [0, 0])[b] += 1
     n1, n0 = int(bad.sum()), int(len(bad) - bad.sum())
+    if not n1 or not n0:
+        return {}
     rows = []
     for w, (c0, c1) in counts.items():
-        if c0 + c1 >= 5:
+        if c0 + c1 >= 4:
             value = math.log((c1 + 1) / (n1 + 2)) - math.log((c0 + 1) / (n0 + 2))
-            gap = abs(c1 / max(n1, 1) - c0 / max(n0, 1)) * math.sqrt(n1 * n0 / (n1 + n0))
-            if gap > 1.0:
+            share = (c0 + c1) / (n0 + n1)
+            # how many standard errors the classes' shares lie apart
+            gap = abs(c1 / n1 - c0 / n0) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+            if gap > 5.0:
                 rows.append((-gap, w, value))
     return {w: v for _, w, v in sorted(rows)[:VOCABULARY]}
 
