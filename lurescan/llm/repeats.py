@@ -50,19 +50,44 @@ _BYTES = np.random.default_rng(20240602).integers(1, 2**63, 256, dtype="uint64")
 _STEPS = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-def _names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: positions named at once; their arrays stay in the processor's cache
+CHUNK = 1 << 16
+
+
+def _chunk_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Names of the 32 and 64 bytes from each position on, by doubling. Entries past the end are unused."""
     h = _BYTES[data]
     out = []
     for k, c in enumerate(_STEPS):
         step = 1 << k
-        h = h * c
+        h *= c
         if len(h) > step:
-            h[:-step] += (h[step:] >> _U(1)) * _STEPS[5 - k]
+            other = h[step:] >> _U(1)
+            other *= _STEPS[5 - k]
+            h[:-step] += other
         h ^= h >> _U(29)
         if step >= 16:
-            out.append(h.copy())
-    return mix(out[0]), mix(out[1])
+            out.append(mix(h))
+    return out[0], out[1]
+
+
+def _names(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(32-byte names, 64-byte names, place of the leftmost smallest 32-byte name among ``span`` from each on)."""
+    n = len(data)
+    short, long, least = np.empty(n, "uint64"), np.empty(n, "uint64"), np.empty(n, "int64")
+    for at in range(0, n, CHUNK):
+        h32, h64 = _chunk_names(data[at : at + CHUNK + span + 64])
+        width = min(CHUNK, n - at)
+        short[at : at + width], long[at : at + width] = h32[:width], h64[:width]
+        # the name's high half, then the place: the smallest is the leftmost of the smallest names
+        key = (h32 >> _U(32) << _U(32)) | np.arange(len(h32), dtype="uint64")
+        have = 1
+        while have < span:
+            step = min(have, span - have)
+            key[: max(len(key) - step, 0)] = np.minimum(key[: max(len(key) - step, 0)], key[step:])
+            have += step
+        least[at : at + width] = at + (key[:width] & _U(0xFFFFFFFF)).astype("int64")
+    return short, long, least
 
 
 def previous_factor(groups: np.ndarray, strings: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -93,6 +118,7 @@ class Block:
         self.table, self.length = table, length
         self.data, self.starts = text_bytes(table, text)
         self.ids = np.asarray(table.column(id_column).fill_null(-(2**63)).to_numpy(), "int64")
+        self.shared = len(np.unique(self.ids)) < len(self.ids)
         n, span = len(self.data), length - KGRAM + 1
         ends = self.starts[1:]
         valid = np.zeros(n, bool)
@@ -102,19 +128,8 @@ class Block:
         if not len(self.windows):
             self.run_from = self.run_to = self.anchor = np.zeros(0, "int64")
             return
-        self.h32, self.h64 = _names(self.data)
-        # leftmost smallest name among the span positions from each one on, by doubling
-        small = (self.h32 >> _U(32)).astype("uint32")
-        place = np.arange(n, dtype="int32")
-        have = 1
-        while have < span:
-            step = min(have, span - have)
-            other, where = small[step:], place[step:]
-            take = other < small[:-step]
-            small = np.concatenate([np.where(take, other, small[:-step]), small[-step:]])
-            place = np.concatenate([np.where(take, where, place[:-step]), place[-step:]])
-            have += step
-        anchor = place[self.windows].astype("int64")
+        self.h32, self.h64, least = _names(self.data, span)
+        anchor = least[self.windows]
         change = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (self.windows[1:] != self.windows[:-1] + 1)])
         self.run_from = self.windows[change]
         self.run_to = self.windows[np.r_[change[1:] - 1, len(anchor) - 1]]
@@ -152,7 +167,9 @@ class Block:
         group, string = self.entries(size, first, last, anchor)
         doc = np.searchsorted(self.starts, first, side="right") - 1
         ids, place = self.ids[doc], first - self.starts[doc]
-        order = np.lexsort((place, ids, string, group))
+        # pieces come by document and place; with ids ascending a stable sort keeps them so
+        rising = bool((self.ids[1:] >= self.ids[:-1]).all()) and bool((first[1:] >= first[:-1]).all())
+        order = np.lexsort((string, group) if rising and not self.shared else (place, ids, string, group))
         g, s, d, p = group[order], string[order], ids[order], place[order]
         new = np.r_[True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])] if len(order) else np.zeros(0, bool)
         head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
