@@ -215,7 +215,7 @@ def between(held: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: floa
                 ok = first & (own != told["label"][x]) & ((own == told["main"][right]) | (told["node"][x] < told["node"][right])) & (equal.sum(axis=1) >= alike)
                 found += [(x, y) for y in right[ok].tolist()]
         needed = sorted({i for pair in found for i in pair})
-        doc, name, weight, _, _ = shingles(table.select(["text"]).take(needed), "text", shingle)
+        doc, name, weight, _, _ = shingles(table.select(["text"]).take(pa.array(needed, pa.int64())), "text", shingle)
         edges = np.searchsorted(doc, np.arange(len(needed) + 1))
         at = {x: i for i, x in enumerate(needed)}
         parent: dict[int, int] = {}
