@@ -160,10 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, rejects: dict[str, Column], id_col
     return {k: fit([r["_text"] for r in got], np.array([r[f"_bad_{k}"] for r in got], "int64")) for k in rejects}
 
 
-def evidence(docs: DataFrame, models: dict[str, Evidence | None], text: str = "text") -> DataFrame:
-    """The documents with ``_odds_<name>``, each classifier's log odds from the whole text."""
+def evidence(docs: DataFrame, models: dict[str, Evidence | None], text: str = "text", keep_text: bool = True) -> DataFrame:
+    """The documents, with or without their texts, with ``_odds_<name>``, each classifier's log odds from the whole text."""
     names = docs.columns
     at = names.index(text)
+    stay = [i for i in range(len(names)) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +175,9 @@ def evidence(docs: DataFrame, models: dict[str, Evidence | None], text: str = "t
                 form, some = shape(told, words), terms_of(words)
                 for k, model in models.items():
                     out[k].append(-20.0 if model is None else model(form, some))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.float64()) for v in out.values())], [*names, *(f"_odds_{k}" for k in models)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *(pa.array(v, pa.float64()) for v in out.values())], [*(names[i] for i in stay), *(f"_odds_{k}" for k in models)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(f"_odds_{k}", T.DoubleType()) for k in models)]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in stay), *(T.StructField(f"_odds_{k}", T.DoubleType()) for k in models)]))
 
 
 def site_posteriors(scored: DataFrame, levels: list[str], names: list[str]) -> DataFrame:
@@ -212,7 +213,7 @@ def site_posteriors(scored: DataFrame, levels: list[str], names: list[str]) -> D
     return out.select(*levels, "n", *[F.log(m[k] / (1 - m[k])).alias(f"_site_{k}") for k in names])
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", levels: tuple[str, ...] = ("source", "lang"), rejects: dict[str, Column] | None = None, site_weight: float = 0.25, cut: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", levels: tuple[str, ...] = ("source", "lang"), rejects: dict[str, Column] | None = None, site_weight: float = 0.25, cut: float = 0.5, keep_text: bool = True) -> DataFrame:
     """The documents with ``_p_<name>`` for each rejected label, and ``_keep``.
 
     ``site_weight`` tempers the sites' odds against the documents' own: a site's mean holds the same documents.
@@ -221,11 +222,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     rejects = rejects or {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     names = list(rejects)
     models = train(docs, labels, rejects, id_column, text)
-    narrow = evidence(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*levels, text])]), models, text).drop(text)
-    sites = stable(site_posteriors(narrow, list(levels), names), "sites")
+    # whole texts are read once; the written scores serve the sites and the decisions
+    scored = stable(evidence(docs, models, text, keep_text), "evidence")
+    sites = stable(site_posteriors(scored, list(levels), names), "sites")
     keyed = sites.select(*[F.col(c).alias(f"_key_{c}") for c in levels], *[f"_site_{k}" for k in names])
     small = keyed.count() <= SITES_BROADCAST
-    scored = evidence(docs, models, text)
     out = scored.join(F.broadcast(keyed) if small else keyed, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in levels], "left")
     for k in names:
         odds = F.col(f"_odds_{k}") + site_weight * F.coalesce(F.col(f"_site_{k}"), F.lit(0.0))
@@ -233,4 +234,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     keep = F.lit(True)
     for k in names:
         keep = keep & (F.col(f"_p_{k}") < cut)
-    return out.withColumn("_keep", keep).select(*[F.col(f"`{c}`") for c in docs.columns], *[f"_p_{k}" for k in names], "_keep")
+    kept = [c for c in docs.columns if keep_text or c != text]
+    return out.withColumn("_keep", keep).select(*[F.col(f"`{c}`") for c in kept], *[f"_p_{k}" for k in names], "_keep")

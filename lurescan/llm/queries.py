@@ -53,7 +53,7 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep_text=False)
     return judged.select("doc_id", F.round("_p_junk", 6).alias("p_junk"), F.round("_p_toxic", 6).alias("p_toxic"), F.col("_keep").alias("keep"))
 
 
