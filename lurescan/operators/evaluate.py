@@ -63,13 +63,13 @@ def cumulative(scores: DataFrame, by: tuple[str, ...] = (), ranges: int = RANGES
 
 
 def roc_auc(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Area under the ROC curve with ties counted half (E2), one row per group."""
+    """Area under the ROC curve with ties counted half (E2), one row per group; null for a group of one class."""
     area = cumulative(scores, by).groupBy(*by).agg(
         F.expr("sum(CAST(neg AS DOUBLE) * (cum_pos - pos + pos / 2))").alias("_area"),
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
     )
-    return area.selectExpr(*by, "positives", "negatives", "round(_area / (positives * negatives), 6) AS roc_auc")
+    return area.selectExpr(*by, "positives", "negatives", "round(try_divide(_area, CAST(positives AS DOUBLE) * negatives), 6) AS roc_auc")
 
 
 def _with_totals(scores: DataFrame) -> DataFrame:
@@ -92,11 +92,11 @@ def pr_curve(scores: DataFrame) -> DataFrame:
 
 def threshold_for_fpr(scores: DataFrame, target: float = 0.02) -> DataFrame:
     """Smallest threshold of 0.5 or more, on a 1e-4 grid, that at most ``target`` of the benign scores
-    reach (E3). One shuffle of at most 10,001 groups."""
+    reach (E3). Missing scores count nowhere. One shuffle of at most 10,001 groups."""
     low = f"CAST(floor(p * {GRID}) AS INT)"
     # floor of the product may fall one cell short of a grid value
     cell = f"least(greatest(IF(p >= ({low} + 1) / {GRID}D, {low} + 1, {low}), 0), {GRID})"
-    counts = scores.where("y = 0").groupBy(F.expr(cell).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counts = scores.where("y = 0 AND p IS NOT NULL").groupBy(F.expr(cell).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.selectExpr("sum(n) AS total", "1 AS one")
     cells = counts.sparkSession.range(GRID // 2, GRID + 1).selectExpr("CAST(id AS INT) AS cell", "1 AS one")
     reach = cells.join(counts, "cell", "left").selectExpr(

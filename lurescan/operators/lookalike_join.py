@@ -17,7 +17,6 @@ from ..functions.text import NO_STRINGS, add, add_once, in_list, words
 from ..plans.storage import stable
 from .skew import spread_join
 
-MAX_LABEL = 63  # a DNS label is no longer than this
 _RANK = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
 
 
@@ -68,11 +67,13 @@ def _label_keys(labels: DataFrame, longest: int) -> DataFrame:
     return keyed.selectExpr("domain", "shown", "inline(_keys)")
 
 
-def label_findings(labels: DataFrame, brands: DataFrame, longest: int = MAX_LABEL) -> DataFrame:
+def label_findings(labels: DataFrame, brands: DataFrame) -> DataFrame:
     """``(domain, shown, ord, brand, technique, severity)``: the first rule that holds per label and brand.
 
     ``labels``: distinct ``(domain, shown)``; ``brands``: ``(ord, brand, official, home, word_only)``.
     """
+    # a key longer than every brand matches none
+    longest = brands.agg(F.max(F.length("brand"))).first()[0] or 0
     pairs = _label_keys(labels, longest).join(_brand_keys(brands), ["rule", "key"])
     # many keys can lead to the same pair: keep one before the distance is computed
     pairs = pairs.select("rule", "domain", "shown", "ord", "brand", "edits").distinct()
@@ -97,12 +98,12 @@ def candidate_hosts(df: DataFrame, brands: DataFrame, tenants=MULTI_TENANT) -> D
     return add_once(hosts, {"shown": f"IF(suffix <> '', {shown}, domain)", "tenant": in_list("registered", tenants), "sub_words": f"array_distinct({words('subdomain')})"})
 
 
-def find_by_keys(df: DataFrame, brands: DataFrame, key: str = "url_id", tenants=MULTI_TENANT, longest: int = MAX_LABEL) -> DataFrame:
+def find_by_keys(df: DataFrame, brands: DataFrame, key: str = "url_id", tenants=MULTI_TENANT) -> DataFrame:
     """One row per finding ``(key, ord, brand, technique, severity)`` for a table with parts."""
     # the hosts are read five times below: written once, so that the URLs are parsed once for them
     hosts = stable(candidate_hosts(df, brands, tenants), "hosts")
     labels = hosts.where("NOT tenant").select("domain", "shown").distinct()
-    on_label = hosts.where("NOT tenant").select("host", "domain", "shown").join(label_findings(labels, brands, longest), ["domain", "shown"])
+    on_label = hosts.where("NOT tenant").select("host", "domain", "shown").join(label_findings(labels, brands), ["domain", "shown"])
     inside = "exists(official, d -> contains(concat(subdomain, '.'), concat(d, '.')))"
     on_sub = (
         hosts.select("host", "subdomain", F.explode("sub_words").alias("brand"))

@@ -52,7 +52,7 @@ class Settings:
 
 def parts_of(kind: str) -> tuple[str, ...]:
     if kind not in KINDS:
-        raise ValueError(f"unknown model {kind!r}; choose from {', '.join(KINDS)}")
+        raise ValueError(f"no model of kind {kind!r}: {', '.join(KINDS)} exist")
     return PARTS[kind]
 
 

@@ -17,8 +17,19 @@ REQUEST = "urls array<string>, url string"
 
 
 def labelled_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """Labelled URLs ``(url, status)`` (S1). A missing URL stays null; see ``quarantine_missing``."""
-    return spark.read.schema(LABELLED).option("header", header).option("escape", '"').csv(path)
+    """Labelled URLs ``(url, status)`` (S1). A missing URL stays null; see ``quarantine_missing``.
+
+    With a header, columns are taken by name in any order and others are left out; a file without one of
+    the two names is refused.
+    """
+    read = spark.read.option("escape", '"')
+    if not header:
+        return read.schema(LABELLED).csv(path)
+    found = read.option("header", True).csv(path)  # all columns as text; only the header line is read here
+    missing = {"url", "status"} - set(found.columns)
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(sorted(missing))}")
+    return found.select("url", "status")
 
 
 def labelled_parquet(spark: SparkSession, path: str) -> DataFrame:
