@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from ..dims import CONFUSABLE_PAIRS, SEQUENCES
-from .text import is_ascii, quote
-from .unicode import strip_marks
+from .text import add, add_once, is_ascii, quote
+from .unicode import without_marks
 
 _FROM = quote("".join(p[0] for p in CONFUSABLE_PAIRS))
 _TO = quote("".join(p[1] for p in CONFUSABLE_PAIRS))
 
 
-def base_form(label: str) -> str:
-    plain = f"IF({is_ascii(label)}, lower({label}), {strip_marks(f'lower({label})')})"
-    return f"translate({plain}, {_FROM}, {_TO})"
+def with_base_forms(df: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Adds, for each name, the base form of a label column: lower case, no marks, confusables replaced."""
+    bare = {name: f"_bare{i}" for i, name in enumerate(labels)}
+    df = add(df, {bare[n]: f"IF({is_ascii(c)}, CAST(NULL AS STRING), lower({c}))" for n, c in labels.items()})
+    strip = without_marks()
+    df = df.withColumns({b: strip(b) for b in bare.values()})
+    forms = {n: f"translate(coalesce({bare[n]}, lower({c})), {_FROM}, {_TO})" for n, c in labels.items()}
+    return add_once(df, forms, drop=tuple(bare.values()))
 
 
 def skeletons(base: str) -> str:

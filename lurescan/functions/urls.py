@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .text import C0_AND_SPACE, DIGIT, is_ascii, quote, trim_space
-from .unicode import idna_decode_label, nfkc
 
 # scheme, authority, path, query; the fragment is matched and dropped
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
@@ -85,20 +84,22 @@ def is_ip(host: str) -> str:
     return f"({host} RLIKE {quote(dotted)} OR {is_ipv6(host)})"
 
 
-def is_malformed(authority: str, hostport: str) -> str:
+def without_delimiters(authority: str) -> str:
+    """Authority without its delimiters where it goes beyond ASCII, else null."""
+    return f"IF({is_ascii(authority)}, CAST(NULL AS STRING), translate({authority}, '@:#?', ''))"
+
+
+def is_malformed(authority: str, hostport: str, plain: str, composed: str) -> str:
     """Unbalanced or misplaced brackets, a bracketed host that is no address, or characters that
-    turn into delimiters under compatibility normalisation."""
+    turn into delimiters under compatibility normalisation (``composed`` is that of ``plain``)."""
     inside = f"lower(regexp_extract({hostport}, {quote(_BRACKETED)}, 1))"
     placed = f"{hostport} RLIKE {quote(_WELL_PLACED)}"
     address = f"({is_ipv6(inside)} OR {inside} RLIKE {quote(r'^v[0-9a-f]+[.].+$')})"
     brackets = f"IF(contains({authority}, '[') OR contains({authority}, ']'), NOT (contains({authority}, '[') AND {placed} AND {address}), false)"
-    plain = f"translate({authority}, '@:#?', '')"
-    unicode = f"IF({is_ascii(authority)}, false, {nfkc(plain)} <> {plain} AND {nfkc(plain)} RLIKE '[/?#@:]')"
+    unicode = f"coalesce({composed} <> {plain} AND {composed} RLIKE '[/?#@:]', false)"
     return f"({brackets} OR {unicode})"
 
 
-def unicode_host(host: str) -> str:
-    """Punycode labels decoded, then compatibility-composed. Plain ASCII hosts pass through."""
-    label = f"IF(startswith(l, 'xn--'), {idna_decode_label('l')}, l)"
-    decoded = f"array_join(transform(split({host}, '[.]'), l -> {label}), '.')"
-    return f"IF(contains({host}, 'xn--') OR NOT {is_ascii(host)}, {nfkc(decoded)}, {host})"
+def encoded_host(host: str) -> str:
+    """Host that may read otherwise in Unicode: with punycode or beyond ASCII, else null."""
+    return f"IF(contains({host}, 'xn--') OR NOT {is_ascii(host)}, {host}, CAST(NULL AS STRING))"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import add, in_list, is_ascii, quote, str_array
-from ..functions.unicode import idna_encode_label
+from ..functions.unicode import idna_label
 from .parts import split_host
 from ..functions import urls as U
 
@@ -38,19 +38,35 @@ def _labels() -> dict[str, str]:
     }
 
 
-def lookalikes(homes: DataFrame, official=None, rules: DataFrame | None = None) -> DataFrame:
-    """Generated lookalike URLs of every ``(name, home)`` row.
+def _homes(homes: DataFrame) -> DataFrame:
+    return add(homes.select("name", "home"), {"label": "substring_index(home, '.', 1)", "ending": "substr(home, length(substring_index(home, '.', 1)) + 2)"})
 
-    Labels equal to the original, shorter than two characters or official are left out (K10).
-    """
-    official = dims.official_domains() if official is None else tuple(official)
-    df = add(homes.select("name", "home"), {"label": "substring_index(home, '.', 1)", "ending": "substr(home, length(substring_index(home, '.', 1)) + 2)"})
+
+def _mutated(df: DataFrame) -> DataFrame:
+    """``made`` is the changed label, ``ascii`` its form in a URL, null where IDNA has none."""
     mutated = df.selectExpr(
         "name", "home", "label", "ending",
         "explode(array(" + ", ".join(f"named_struct('technique', '{t}', 'made', array_distinct({sql}))" for t, sql in _labels().items()) + ")) AS m",
     ).selectExpr("name", "home", "label", "ending", "m.technique", "explode(m.made) AS made")
     mutated = mutated.where("made <> label AND length(made) >= 2")
-    mutated = add(mutated, {"made": f"IF({is_ascii('made')}, made, {idna_encode_label('made')})"})
+    mutated = add(mutated, {"_odd": f"IF({is_ascii('made')}, CAST(NULL AS STRING), made)"}).withColumn("_coded", idna_label()("_odd"))
+    return add(mutated, {"ascii": "IF(_odd IS NULL, made, _coded)"}).drop("_odd", "_coded")
+
+
+def rejected(homes: DataFrame) -> DataFrame:
+    """``(name, home, technique, made)``: changed labels that no URL can hold; ``lookalikes`` leaves them out."""
+    return _mutated(_homes(homes)).where("ascii IS NULL").select("name", "home", "technique", "made")
+
+
+def lookalikes(homes: DataFrame, official=None, rules: DataFrame | None = None) -> DataFrame:
+    """Generated lookalike URLs of every ``(name, home)`` row.
+
+    Labels equal to the original, shorter than two characters or official are left out (K10), and so are
+    those without an ASCII form (``rejected``).
+    """
+    official = dims.official_domains() if official is None else tuple(official)
+    df = _homes(homes)
+    mutated = add(_mutated(df).where("ascii IS NOT NULL"), {"made": "ascii"})
     mutated = add(mutated, {"host": "lower(trim(TRAILING '.' FROM concat(made, '.', ending)))"})
     mutated = add(mutated, {"is_ip": U.is_ip("host"), "unicode_host": "host"})
     mutated = split_host(mutated, rules).where(f"NOT {in_list('registered', official)}")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..dims import BRANDS, MULTI_TENANT, official_domains
 from ..functions.distance import osa_within, swapped_pairs
-from ..functions.skeleton import base_form, skeletons
+from ..functions.skeleton import skeletons, with_base_forms
 from ..functions.text import NO_STRINGS, add, add_once, in_list, str_array, table_literal, words
 
 MAX_LITERAL_BRANDS = 5_000
@@ -51,7 +51,7 @@ def label_columns(df: DataFrame, brands=BRANDS, tenants=MULTI_TENANT) -> DataFra
     shown = "substring_index(substring_index(unicode_host, '.', -(size(split(suffix, '[.]')) + 1)), '.', 1)"
     df = add_once(df, {"_gate": gate(brands, tenants), "_tenant": in_list("registered", tenants)})
     df = add(df, {"_shown": f"CASE WHEN NOT _gate THEN '' WHEN suffix <> '' THEN {shown} ELSE domain END"})
-    df = add_once(df, {"_label_base": base_form("domain"), "_shown_base": base_form("_shown")})
+    df = with_base_forms(df, {"_label_base": "domain", "_shown_base": "_shown"})
     path_words = f"array_distinct({words("concat_ws(' ', path, query)")})"
     return add_once(
         df,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..dims import MULTI_TENANT
 from ..functions.distance import osa_within, swapped_pairs_of
-from ..functions.skeleton import base_form, skeletons
+from ..functions.skeleton import skeletons, with_base_forms
 from ..functions.text import NO_STRINGS, add, add_once, in_list, words
 from ..plans.storage import stable
 from .skew import spread_join
@@ -57,7 +57,7 @@ def _label_keys(labels: DataFrame, longest: int) -> DataFrame:
     affixes = f"array_distinct(concat(transform({ends}, n -> left(domain, n)), transform({ends}, n -> right(domain, n))))"
     # labels of 5 and 6 letters can only be one edit from a brand of 6 or more
     near = f"IF(length(domain) BETWEEN 5 AND {longest + 2}, {deletion_keys('domain', 'IF(length(domain) >= 7, 2, 1)')}, {NO_STRINGS})"
-    based = add_once(labels, {"label_base": base_form("domain"), "shown_base": base_form("shown")})
+    based = with_base_forms(labels, {"label_base": "domain", "shown_base": "shown"})
     arrays = add_once(
         based,
         {"_r7": "array(domain)", "_r8": shapes, "_r9": near, "_r10": f"IF(size({words('shown')}) > 1, {words('shown')}, {NO_STRINGS})", "_r11": affixes},

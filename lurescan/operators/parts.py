@@ -1,7 +1,7 @@
 """URL table -> URL table with the parts of every URL.
 
-Map-only: the public-suffix rules are a fixed-size dimension, joined by broadcast on the last one to
-four labels of the host, so no URL is shuffled however skewed the hosts are.
+Map-only: the public-suffix rules are a fixed-size dimension, joined by broadcast on the last labels of
+the host, as many as the longest rule has, so no URL is shuffled however skewed the hosts are.
 """
 
 from __future__ import annotations
@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.text import add, add_once, count_char
-from ..sources.psl import EXCEPTION, MAX_LABELS, PLAIN, WILDCARD, suffix_rules
+from ..functions.unicode import nfkc, nfkc_jvm, shown_host, shown_host_jvm
+from ..sources.psl import EXCEPTION, PLAIN, WILDCARD, rule_depth, suffix_rules
 
 PART_FIELDS = (
     "scheme host unicode_host port path query subdomain domain suffix registered is_ip parse_error".split()
 )
 
 
-def split_url(df: DataFrame, url: str = "url") -> DataFrame:
-    """Scheme, host, port, path and query (P1-P7, P10 flags): projections only, no join."""
+def split_url(df: DataFrame, url: str = "url", pushable: bool = False) -> DataFrame:
+    """Scheme, host, port, path and query (P1-P7, P10 flags): projections only, no join.
+
+    ``pushable`` lets filters on the other columns reach the scan; Unicode work then runs in Python workers.
+    """
     df = df.drop(*PART_FIELDS)
     df = add(df, {"_clean": U.drop_unsafe(U.with_scheme(f"`{url}`"))})
     df = add(df, {"_authority": U.authority_of("_clean"), "_path": U.path_of("_clean"), "_query": U.query_of("_clean"), "_scheme": U.scheme_of("_clean")})
     df = add(df, {"_hostport": U.host_port("_authority")})
     df = add(df, {"_host": U.host_of("_hostport")})
+    # null but for the rare rows that need Unicode work
+    df = add(df, {"_encoded": U.encoded_host("_host"), "_plain": U.without_delimiters("_authority")})
+    if pushable:
+        df = df.withColumns({"_encoded": shown_host()("_encoded"), "_composed": nfkc()("_plain")})
+    else:
+        df = add(df, {"_encoded": shown_host_jvm("_encoded"), "_composed": nfkc_jvm("_plain")})
     return add_once(
         df,
         {
@@ -33,20 +43,20 @@ def split_url(df: DataFrame, url: str = "url") -> DataFrame:
             "port": U.port_of("_hostport"),
             "path": "_path",
             "query": "_query",
-            "parse_error": U.is_malformed("_authority", "_hostport"),
-            "unicode_host": U.unicode_host("_host"),
+            "parse_error": U.is_malformed("_authority", "_hostport", "_plain", "_composed"),
+            "unicode_host": "coalesce(_encoded, _host)",
             "is_ip": U.is_ip("_host"),
         },
-        drop=("_clean", "_authority", "_path", "_query", "_scheme", "_hostport", "_host"),
+        drop=("_clean", "_authority", "_path", "_query", "_scheme", "_hostport", "_host", "_encoded", "_plain", "_composed"),
     )
 
 
-def _suffix_length() -> str:
-    """Number of labels in the public suffix, from the rule flags of the last 1..4 labels; 0 if unlisted."""
+def _suffix_length(deepest: int) -> str:
+    """Number of labels in the public suffix, from the rule flags of the last labels; 0 if unlisted."""
     best = "0"
-    for k in range(1, MAX_LABELS + 1):
+    for k in range(1, deepest + 1):
         flags = f"coalesce(_rule{k}, 0)"
-        excepted = f"(coalesce(_rule{k + 1}, 0) & {EXCEPTION}) > 0" if k < MAX_LABELS else "false"
+        excepted = f"(coalesce(_rule{k + 1}, 0) & {EXCEPTION}) > 0" if k < deepest else "false"
         best = (
             f"CASE WHEN ({flags} & {WILDCARD}) > 0 AND {excepted} THEN {k} "
             f"WHEN ({flags} & {WILDCARD}) > 0 AND _n > {k} THEN {k + 1} "
@@ -57,17 +67,18 @@ def _suffix_length() -> str:
 
 def split_host(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Subdomain, domain, suffix and registered domain of ``host``."""
+    deepest = rule_depth(rules)
     rules = suffix_rules(df.sparkSession) if rules is None else rules
     keep = [f"`{c}`" for c in df.columns if c not in ("suffix", "domain", "subdomain", "registered")]
     # other full stops that name resolution treats as a dot
     df = df.selectExpr(*keep, "translate(host, '。．｡', '...') AS _dotted")
     df = df.selectExpr("*", f"IF(is_ip OR host = '', 0, {count_char('_dotted', '.')} + 1) AS _n")
-    depth = range(1, MAX_LABELS + 1)
+    depth = range(1, deepest + 1)
     df = df.selectExpr("*", *[f"IF(_n >= {k}, substring_index(_dotted, '.', -{k}), NULL) AS _tail{k}" for k in depth])
     for k in depth:
         rule = F.broadcast(rules.selectExpr(f"rule AS _tail{k}", f"flags AS _rule{k}"))
         df = df.join(rule, f"_tail{k}", "left")
-    df = df.selectExpr(*keep, "_dotted", "_n", f"{_suffix_length()} AS _listed")
+    df = df.selectExpr(*keep, "_dotted", "_n", f"{_suffix_length(deepest)} AS _listed")
     # an unlisted top-level domain counts as a suffix of one label
     df = df.selectExpr(*keep, "_dotted", "_n", "IF(_listed = 0 AND contains(host, '.') AND _n > 0, 1, _listed) AS _take")
     reg = "substring_index(_dotted, '.', -(_take + 1))"
@@ -85,9 +96,9 @@ def split_host(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     )
 
 
-def with_parts(df: DataFrame, url: str = "url", rules: DataFrame | None = None) -> DataFrame:
+def with_parts(df: DataFrame, url: str = "url", rules: DataFrame | None = None, pushable: bool = False) -> DataFrame:
     """Adds the twelve part columns to a table of URLs. Rows are kept, duplicates included."""
-    return split_host(split_url(df, url), rules)
+    return split_host(split_url(df, url, pushable), rules)
 
 
 def parts_struct() -> Column:

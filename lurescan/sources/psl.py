@@ -12,9 +12,9 @@ from functools import lru_cache
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PLAIN, WILDCARD, EXCEPTION = 1, 2, 4
-MAX_LABELS = 4
 _ENTRY = "mozilla/public-suffix-list.txt"
 _BEGIN, _END = "===BEGIN ICANN DOMAINS===", "===END ICANN DOMAINS==="
 
@@ -65,3 +65,10 @@ def suffix_rules(spark: SparkSession, text: str | None = None) -> DataFrame:
         {"rule": [k for k, _ in rows], "flags": pa.array([f for _, f in rows], pa.int32())}
     )
     return spark.createDataFrame(table, schema="rule string, flags int")
+
+
+def rule_depth(rules: DataFrame | None = None) -> int:
+    """Labels of the longest rule; of the bundled rules without a job."""
+    if rules is None:
+        return max(key.count(".") + 1 for key, _ in rule_flags())
+    return rules.agg(F.max(F.size(F.split("rule", "[.]")))).first()[0] or 1

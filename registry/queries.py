@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lurescan import dims
 from lurescan.functions.distance import osa
-from lurescan.functions.skeleton import base_form, skeletons
+from lurescan.functions.skeleton import skeletons, with_base_forms
 from lurescan.functions.text import add, in_list
 from lurescan.operators import evaluate, folds, ngrams, profile
 from lurescan.operators.features import extract, v1_features, with_similarity
@@ -312,7 +312,7 @@ def look_gate(spark, sf):
 def look_skeletons(spark, sf):
     """Distinct readings per distinct label."""
     labels = parsed(spark, sf).where("domain <> '' AND NOT is_ip").select("domain").distinct()
-    return add(labels, {"b": base_form("domain")}).selectExpr("domain", f"explode({skeletons('b')}) AS reading")
+    return with_base_forms(labels, {"b": "domain"}).selectExpr("domain", f"explode({skeletons('b')}) AS reading")
 
 
 @query

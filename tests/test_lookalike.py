@@ -4,7 +4,7 @@ import pytest
 
 from lurescan import dims
 from lurescan.functions.distance import osa, osa_within, swapped_pairs_of
-from lurescan.functions.skeleton import base_form, skeletons
+from lurescan.functions.skeleton import skeletons, with_base_forms
 from lurescan.functions.text import add
 from lurescan.operators.generate import brand_group, brand_homes, lookalikes
 from lurescan.operators.lookalike import explode_findings, find
@@ -63,7 +63,7 @@ def test_distance(spark):
 
 
 def test_skeletons(spark):
-    df = add(spark.createDataFrame([("Rnicr0s0ft",), ("cаfé",), ("bell",)], "x string"), {"b": base_form("x")})
+    df = with_base_forms(spark.createDataFrame([("Rnicr0s0ft",), ("cаfé",), ("bell",)], "x string"), {"b": "x"})
     got = [set(r[0]) for r in df.selectExpr(skeletons("b")).collect()]
     assert "microsoft" in got[0] and got[1] == {"cafe"} and got[2] == {"bell", "beii"}
 
