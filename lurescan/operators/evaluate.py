@@ -135,12 +135,13 @@ def sweep(scores: DataFrame, thresholds) -> DataFrame:
 
 
 def compare_thresholds(scores: DataFrame, t: float) -> DataFrame:
-    """Metrics at 0.5 and at ``t`` side by side, one row per metric."""
+    """Metrics at 0.5 and at ``t`` side by side, one row per metric (E9); the area is the same at both."""
     names = ("accuracy", "precision", "recall", "f1", "false_positive_rate")
     long = lambda at, col: metrics_at(scores, at).selectExpr(
         f"stack({len(names)}, {', '.join(f"'{n}', {n}" for n in names)}) AS (metric, {col})"
     )
-    return long(0.5, "at_half").join(long(t, "at_threshold"), "metric")
+    area = roc_auc(scores).selectExpr("'roc_auc' AS metric", "roc_auc AS at_half", "roc_auc AS at_threshold")
+    return area.unionByName(long(0.5, "at_half").join(long(t, "at_threshold"), "metric"))
 
 
 def top_mistakes(scores: DataFrame, k: int = 8) -> DataFrame:

@@ -38,10 +38,13 @@ def deletion_keys(text: str, k: str) -> str:
     )
 
 
-def _brand_keys(brands: DataFrame) -> DataFrame:
-    """(rule, key) rows of the brand table; rules 7-11 are those of the label."""
+def _brand_keys(brands: DataFrame, longest: int) -> DataFrame:
+    """(rule, key) rows of the brand table; rules 7-11 are those of the label.
+
+    Misspellings of brands more than two letters over the longest label are not made, for they match none.
+    """
     b = add(brands, {"len": "length(brand)", "edits": "IF(length(brand) >= 9, 2, 1)"})
-    spelt = f"IF(NOT word_only AND len >= 6, {deletion_keys('brand', 'edits')}, {NO_STRINGS})"
+    spelt = f"IF(NOT word_only AND len BETWEEN 6 AND {longest + 2}, {deletion_keys('brand', 'edits')}, {NO_STRINGS})"
     keys = f"""concat(
         array(named_struct('rule', 7, 'key', brand), named_struct('rule', 8, 'key', brand), named_struct('rule', 10, 'key', brand)),
         IF(NOT word_only AND len > 4, array(named_struct('rule', 11, 'key', brand)), array()),
@@ -74,7 +77,8 @@ def label_findings(labels: DataFrame, brands: DataFrame) -> DataFrame:
     """
     # a key longer than every brand matches none
     longest = brands.agg(F.max(F.length("brand"))).first()[0] or 0
-    pairs = _label_keys(labels, longest).join(_brand_keys(brands), ["rule", "key"])
+    reach = labels.agg(F.max(F.length("domain"))).first()[0] or 0
+    pairs = _label_keys(labels, longest).join(_brand_keys(brands, reach), ["rule", "key"])
     # many keys can lead to the same pair: keep one before the distance is computed
     pairs = pairs.select("rule", "domain", "shown", "ord", "brand", "edits").distinct()
     pairs = add(pairs, {"swaps": f"IF(rule = 9, {swapped_pairs_of('brand')}, {NO_STRINGS})"})

@@ -269,6 +269,6 @@ def out_of_time(detectors: dict[str, Detector], sources: DataFrame, thresholds=(
 
 
 def quick(**changes) -> Settings:
-    """Small settings for trials and checks."""
-    base = Settings(trees=20, forest_depth=8, rounds=10, step=0.2, boost_depth=4, bins=64, iterations=50, max_terms=20_000)
+    """Few boosting rounds, larger steps; forests and n-gram models as published."""
+    base = Settings(rounds=10, step=0.2, boost_depth=4, bins=64)
     return replace(base, **changes)

@@ -56,6 +56,7 @@ def _readings(expr: str) -> str:
 
 
 _BASE = f"translate(lower({{}}), '{''.join(x[0] for x in dims.CONFUSABLE_PAIRS)}', '{''.join(x[1] for x in dims.CONFUSABLE_PAIRS)}')"
+_GLYPHS = ", ".join(f"('{c}', '{g}')" for c, row in dims.GLYPHS.items() for g in row.split())
 # within two edits, neighbours swapped counting once: plain distance, or one swap with at most one more edit around it
 _WITHIN_2 = """(levenshtein(h.domain, b.brand) <= 2 OR len(list_filter(range(1, length(h.domain)), lambda i:
   len(list_filter(range(1, length(b.brand)), lambda j: h.domain[i] = b.brand[j + 1] AND h.domain[i + 1] = b.brand[j] AND
@@ -355,7 +356,9 @@ ORACLES = {
     "compare_thresholds": f"""{CORPUS}, {SCORES}, a AS (SELECT 0 AS k, * FROM ({_METRICS.format(t=0.5)}) UNION ALL SELECT 1, * FROM ({_METRICS.format(t=0.7478)})),
       m AS (SELECT k, unnest(['accuracy', 'precision', 'recall', 'f1', 'false_positive_rate']) AS metric,
         unnest([(tp + tn) / (tp + tn + fp + fn)::DOUBLE, tp / greatest(tp + fp, 1)::DOUBLE, tp / greatest(tp + fn, 1)::DOUBLE, 2 * tp / greatest(2 * tp + fp + fn, 1)::DOUBLE, fp / greatest(fp + tn, 1)::DOUBLE]) AS v FROM a)
-      SELECT metric, round(round(max(v) FILTER (WHERE k = 0), 4), 3) AS at_half, round(round(max(v) FILTER (WHERE k = 1), 4), 3) AS at_threshold FROM m GROUP BY 1""",
+      SELECT metric, round(round(max(v) FILTER (WHERE k = 0), 4), 3) AS at_half, round(round(max(v) FILTER (WHERE k = 1), 4), 3) AS at_threshold FROM m GROUP BY 1
+      UNION ALL SELECT 'roc_auc', area, area FROM (SELECT round(round((SELECT sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) FROM sc a, sc b WHERE a.y = 1 AND b.y = 0)::DOUBLE /
+        (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 6), 3) AS area FROM sc)""",
     "top_mistakes": f"""{CORPUS}, {SCORES}, a AS (SELECT y, url_id, p FROM sc WHERE y = 0 ORDER BY p DESC, url_id LIMIT 8), b AS (SELECT y, url_id, p FROM sc WHERE y = 1 ORDER BY p, url_id LIMIT 8)
       SELECT y, url_id, round(p, 6) AS p FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
     "top_flagged": f"{CORPUS}, {SCORES} SELECT url_id, round(p, 6) AS p FROM (SELECT * FROM sc WHERE y = 0 ORDER BY p DESC, url_id LIMIT 10)",
@@ -378,7 +381,7 @@ ORACLES = {
         UNION SELECT home, label, ending, 'transposition', substr(label, 1, i - 1) || label[i + 1] || label[i] || substr(label, i + 2) FROM spots WHERE i < length(label)
         UNION SELECT home, label, ending, 'hyphenation', substr(label, 1, i) || '-' || substr(label, i + 1) FROM spots WHERE i < length(label)
         UNION SELECT home, label, ending, 'replacement', substr(label, 1, i - 1) || v || substr(label, i + 1) FROM spots, (SELECT unnest(['a', 'e', 'i', 'o', 'u']) AS v) WHERE v <> label[i]
-        UNION SELECT home, label, ending, 'homoglyph', substr(label, 1, i - 1) || g || substr(label, i + 1) FROM spots JOIN (VALUES ('o', '0'), ('l', '1'), ('i', '1'), ('e', '3'), ('m', 'rn'), ('w', 'vv')) AS x(c, g) ON label[i] = c
+        UNION SELECT home, label, ending, 'homoglyph', substr(label, 1, i - 1) || g || substr(label, i + 1) FROM spots JOIN (VALUES {_GLYPHS}) AS x(c, g) ON label[i] = c
         UNION SELECT home, label, ending, 'combosquat', unnest([label || '-' || w, w || '-' || label, label || w]) FROM homes, (SELECT unnest([{_list(dims.COMBO_WORDS)}]) AS w))
       SELECT home AS name, home, technique, 'https://' || m || '.' || ending || '/' AS url FROM made WHERE m <> label AND length(m) >= 2 AND m || '.' || ending NOT IN (SELECT official FROM ({OFFICIAL_DIM}))
       UNION ALL SELECT home, home, 'subdomain', unnest(['https://' || home || '.account-verify.com/signin', 'https://' || label || '.secure-login.com/signin']) FROM homes

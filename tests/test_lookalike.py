@@ -93,3 +93,12 @@ def test_key_joins_find_the_same(spark, generated):
     assert {tuple(r) for r in keyed.collect()} == a and len(a) > 3000
     plan = keyed._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_key_joins_take_brands_of_any_length(spark, urls):
+    """Short, long and unreachably long names in one table; a swap in a long name is found."""
+    names = ["ab", "averylongbrandnameindeed", "x" * 3000]
+    brands = spark.createDataFrame([(i, n, [f"{n}.test"], f"{n}.test", False) for i, n in enumerate(names)], "ord int, brand string, official array<string>, home string, word_only boolean")
+    rows = with_parts(urls(["http://averylongbrandnameinded.com/", "http://ab.com/", "http://averylongbrandnameindeed.test/"]))
+    got = {(r["url_id"], r["brand"], r["technique"]) for r in find_by_keys(rows, brands).collect()}
+    assert got == {(0, names[1], "typosquat"), (1, "ab", "unofficial-domain")}
