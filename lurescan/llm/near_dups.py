@@ -190,7 +190,8 @@ def between(held: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: floa
     two = held.select("*", F.pmod(F.xxhash64("node"), inner).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), outer - 1)).alias("j"), F.lit(False).alias("outside"))
     dealt = stable(one.unionByName(two), "blocks-of-pairs")
     groups = max(8, dealt.count() // (4 * VERIFY_PAIRS))
-    full = dealt.join(nodes.select("node", "signature"), "node").join(texts, "node")
+    # signature and text meet once per node, then each block's row meets both
+    full = dealt.join(nodes.select("node", "signature").join(texts, "node"), "node")
     full = full.select(F.pmod(F.xxhash64("bucket", "band", "i", "j"), F.lit(groups)).alias("deal"), "bucket", "band", "i", "j", "outside", "node", "label", "main", "signature", "text")
 
     def run(table: pa.Table) -> pa.Table:
@@ -262,7 +263,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thre
     links = stable(verified(stars, texts, threshold, shingle), "links")
     labels = components(crowd, links)
 
-    held = seats.where("size > 2").select("bucket", "band", "node").join(labels, "node")
+    held = stable(seats.where("size > 2").select("bucket", "band", "node").join(labels, "node"), "held")
     shares = held.groupBy("bucket", "band", "label").agg(F.count("*").alias("n"))
     largest = F.max(F.struct("n", "label"))
     open_ = shares.groupBy("bucket", "band").agg(largest["label"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - largest["n"]).alias("others"), F.count("*").alias("labels")).where("labels > 1")
