@@ -196,6 +196,32 @@ def test_search_equals_scoring_everything(docs, rows, empty):
     assert search.top_k(empty, F.col("doc_id") % 20 == 0).count() == 0
 
 
+def test_search_query_takes_whole_documents(spark, rows, tmp_path):
+    """Rows whose only link is a passage of frequent words, which the rarer words of the query must not hide."""
+    rng = random.Random(3)
+    shared = " ".join(f"passage{i}" for i in range(30))
+    own = " ".join(f"{w} {w} {w}" for w in (f"rare{i}" for i in range(12)))
+    made = [(20, f"{shared} {own}"), (21, shared), *((i, f"{own} tail{i}") for i in range(22, 26)), *((i, " ".join(rng.sample(shared.split(), 8))) for i in range(26, 200))]
+    made += [r for r in rows if r[0] is None or r[0] >= 9001]
+    spark.createDataFrame(made, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lists = [(i, collections.Counter(words_of(t))) for i, t in made]
+    n, mean = len(lists), sum(sum(c.values()) for _, c in lists) / len(lists)
+    df = collections.Counter(w for _, c in lists for w in c)
+    idf = {w: round(math.log(1 + (n - d + 0.5) / (d + 0.5)), 9) for w, d in df.items() if d > 1}
+    expected = set()
+    for q, c in lists:
+        if q is not None and q % 20 == 0:
+            scored = []
+            for i, d in lists:
+                s = sum(idf[w] * d[w] * 2.2 / (d[w] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)) for w in c if w in idf and d[w])
+                if i is not None and s > 0:
+                    scored.append((-round(s, 6), i))
+            expected |= {(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:10], 1)}
+    got = {tuple(r) for r in QUERIES["op2_search"](spark, str(tmp_path)).collect()}
+    assert got == expected
+    assert (20, 21) in {(q, d) for q, _, d, _ in got}
+
+
 def test_licenses(spark, empty):
     texts = [
         (1, "Released under the MIT\n * License. MIT LICENSE mit-license"),
