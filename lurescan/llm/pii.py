@@ -5,8 +5,9 @@ adds spans the rules miss, such as phone numbers without a plus, spelled-out add
 
 The field scores whole segments: features of a candidate (its digits, separators, checksum, the word before
 it) are weighted for each kind, and a dynamic program over the tokens of a region picks boundaries and kinds
-together; an entity has at most ``MAX_TOKENS`` tokens. Regions are the surroundings of digits and at signs,
-so plain prose costs one scan. Weights are fitted by the conditional likelihood (forward and backward sums)
+together; an entity has at most ``MAX_TOKENS`` tokens. Regions are the surroundings of digits, at signs,
+spelled-out at signs before a spelled-out dot, and key words with a sign, widened to blanks, so plain prose
+costs one scan. Weights are fitted by the conditional likelihood (forward and backward sums)
 on regions of a bounded sample of the documents, labelled by the rules, by key words before long tokens, and
 by rewriting known entities (plus signs dropped, at signs and dots spelled out). An added span must lead the
 best reading without it by ``MARGIN``.
@@ -83,18 +84,34 @@ def rule_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 # --- regions, tokens, candidates ---
 
 _NEAR = 48
-_TRIGGER = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_", re.ASCII)
 _KEYWORD = {"token", "secret", "password", "passwd", "apikey", "key", "pwd", "auth"}
+_DOT = r"(?:\s?[(\[]dot[)\]]\s?|\sdot\s)"
+_TRIGGER = re.compile(
+    rf"[0-9@]|(?:\sat\s[A-Za-z0-9-]+{_DOT}|\s?[(\[]at[)\]]\s?[A-Za-z0-9-]+(?:\.|{_DOT}))[A-Za-z0-9-]"
+    r"|\b(?:" + "|".join(sorted(_KEYWORD)) + r")\s?[=:]",
+    re.IGNORECASE | re.ASCII,
+)
+_AT_WORD = re.compile(r"\sat\s|[(\[]at[)\]]", re.IGNORECASE)
+_BLANK = re.compile(r"\s")
+_DOT_BEFORE, _DOT_AFTER = re.compile(rf"{_DOT}$", re.IGNORECASE), re.compile(rf"{_DOT}[A-Za-z0-9-]", re.IGNORECASE)
+_ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9._%+-]+)*(?:@|\s?[(\[]at[)\]]\s?|\sat\s)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
 _CALL = {"phone", "tel", "call", "mobile", "fax", "telephone"}
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Surroundings of digits and at signs, joined where they overlap, cut at blanks."""
+    """Surroundings of what ``_TRIGGER`` finds, joined where they overlap, cut at blanks."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - _NEAR), min(len(text), m.end() + _NEAR)
-        if out and a <= out[-1][1]:
+        last = out[-1][1] if out else 0
+        if b <= last:
+            continue
+        while a > last and not text[a - 1].isspace():
+            a -= 1
+        blank = _BLANK.search(text, b)
+        b = blank.start() if blank else len(text)
+        if out and a <= last:
             out[-1][1] = b
         else:
             out.append([a, b])
@@ -107,17 +124,19 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     piece = text[begin:end]
     digits = sum(c.isdigit() for c in piece)
     letters = sum(c.isalpha() for c in piece)
-    if not digits and "@" not in piece and " at " not in piece and "(at)" not in piece:
+    if not digits and "@" not in piece and not _AT_WORD.search(piece):
         return []
     if not (piece[0].isalnum() or piece[0] in "+(") or not piece[-1].isalnum():
         return []
     glued = (begin > 0 and (text[begin - 1].isalnum() or text[begin - 1] in "._@-+")) or (end < len(text) and (text[end].isalnum() or text[end] == "@"))
+    if not glued and ("@" in piece or _AT_WORD.search(piece)):  # a spelled-out dot goes on outside
+        glued = bool(_DOT_BEFORE.search(text[max(0, begin - 7) : begin]) or _DOT_AFTER.match(text, end))
     before = [text[a:b].lower() for a, b in tokens[max(0, i - 3) : i]]
     words = j - i
     out = [f"digits={'0' if not digits else '1-6' if digits < 7 else '7-9' if digits < 10 else '10-11' if digits < 12 else '12-15' if digits < 16 else '16-19' if digits < 20 else '20+'}"]
     out.append(f"letters={'none' if not letters else 'some' if letters < digits else 'most'}")
-    out.append(f"at={'sign' if piece.count('@') == 1 else 'word' if re.search(r'[ (]at[ )]', piece) else 'none' if '@' not in piece else 'many'}")
-    out.append(f"dots={min(piece.count('.') + len(re.findall(r'[ (]dot[ )]', piece)), 4)}")
+    out.append(f"at={'sign' if piece.count('@') == 1 else 'word' if _AT_WORD.search(piece) else 'none' if '@' not in piece else 'many'}")
+    out.append(f"dots={min(piece.count('.') + len(re.findall(_DOT, piece, re.IGNORECASE)), 4)}")
     out.append(f"blanks={min(piece.count(' '), 4)}")
     if glued:
         out.append("glued")
@@ -129,7 +148,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
         out.append("quad" if all(int(p) <= 255 for p in piece.split(".")) else "quad over 255")
     if re.fullmatch(r"[0-9]([ -]?[0-9])+", piece) and 16 <= digits <= 19:
         out.append("luhn" if luhn(re.sub("[ -]", "", piece)) else "no luhn")
-    if re.fullmatch(r"[A-Za-z0-9._%+-]+(@| ?\(at\) ?| at )[A-Za-z0-9-]+((\.| ?\(dot\) ?| dot )[A-Za-z0-9-]+)+", piece):
+    if _ADDRESS.fullmatch(piece):
         out.append("address")
     if words == 1 and len(piece) >= 16 and digits and letters:
         out.append("long mixed word" if len(piece) >= 24 else "mixed word")
@@ -246,8 +265,8 @@ def label(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: s[1])
 
 
-def rewritten(text: str, gold: list[tuple[str, int, int]], turn: int) -> tuple[str, list[tuple[str, int, int]]]:
-    """The same entities in another writing, which the rules don't know."""
+def rewritten(text: str, gold: list[tuple[str, int, int]], turn: int, digits: bool = True) -> tuple[str, list[tuple[str, int, int]]]:
+    """The same entities in another writing, which the rules don't know; ``digits=False``: addresses without digits."""
     out, spans, at = "", [], 0
     for kind, a, b in gold:
         if a < at:
@@ -256,6 +275,12 @@ def rewritten(text: str, gold: list[tuple[str, int, int]], turn: int) -> tuple[s
         if kind == "phone":
             piece = re.sub(r"^\+[0-9]{1,3} ?", "", piece) if turn % 2 else piece.lstrip("+")
             piece = piece if piece[:1].isalnum() or piece[:1] in "+(" else piece.lstrip(" .-)")
+        elif kind == "email" and not digits:
+            sign, dot = ((" at ", " dot "), (" (at) ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "))[turn % 4]
+            name, host = re.sub("[0-9]", lambda m: "abcdefghij"[int(m.group())], piece).split("@")
+            name = name.replace(".", "") if turn // 4 % 2 else name
+            host = host if turn // 8 % 2 else ".".join(host.split(".")[-2:])
+            piece = name.replace(".", dot) + sign + host.replace(".", dot)
         elif kind == "email":
             piece = piece.replace("@", " at " if turn % 2 else " (at) ").replace(".", " dot ") if turn % 3 else piece.replace("@", " (at) ")
         out += text[at:a]
@@ -267,7 +292,8 @@ def rewritten(text: str, gold: list[tuple[str, int, int]], turn: int) -> tuple[s
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_REGIONS) -> SemiMarkov:
-    """Fits the field on at most ``sample`` regions, the first by hash, and as many rewritten ones."""
+    """Fits the field on at most ``sample`` regions, the first by hash, as many rewritten ones,
+    and those with addresses four times more, with letters for their digits and fewer dots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +303,9 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_REGIONS) ->
     found = docs.select(F.col(text)).mapInArrow(run, "region string").distinct()
     chosen = [r.region for r in found.orderBy(F.xxhash64("region"), "region").limit(sample).collect()]
     samples = [(t, label(t)) for t in chosen]
+    told = [(t, gold) for t, gold in samples if any(k == "email" for k, _, _ in gold)]
     samples += [rewritten(t, gold, i) for i, (t, gold) in enumerate(samples) if gold]
+    samples += [rewritten(t, gold, 5 * i + j, digits=False) for i, (t, gold) in enumerate(told) for j in (0, 1, 6, 11)]
     return fit(samples)
 
 

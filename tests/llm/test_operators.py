@@ -305,6 +305,22 @@ def test_pii_field_adds_spans_and_leaves_prose(spark, empty):
     assert pii.scan(empty).count() == 0
 
 
+def test_pii_finds_spelled_out_addresses_without_digits(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for told in ("jane dot doe at mailhost dot com", "jane.doe (at) mailhost.com", "jane.doe [at] mailhost [dot] com"):
+        text = f"please write to {told}, or ask for the others of the committee at home"
+        assert pii.find(text, model)[1] == [("email", 16, 16 + len(told))], told
+    assert pii.regions("we met at home and the dot was there") == []
+
+
+def test_pii_regions_end_at_blanks():
+    """The key word stands more than 48 characters before the first digit, and the word goes on after the last."""
+    text = "plain words token = " + "a" * 60 + "1" + "b" * 60 + " " + "more plain words " * 5
+    (found,) = pii.regions(text)
+    assert found[0] <= 12 and found[1] >= 20 + 121
+    assert all(text[a - 1 : a].strip() == "" and text[b : b + 1].strip() == "" for a, b in [found])
+
+
 def test_quality_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
