@@ -705,7 +705,7 @@ def _table(spark, sf):
 
 def _fit(spark, sf, kind):
     table = folds.holdout_by_site(_table(spark, sf))
-    detector = models.build(kind, table.where("NOT is_test"), models.quick())
+    detector = models.build(kind, table.where("NOT is_test"), models.Settings())
     return detector.score(table.where("is_test")).selectExpr("url_id", "y", "round(p, 6) AS p")
 
 
@@ -736,20 +736,20 @@ def fit_combined(spark, sf):
 @query
 def oof_scores(spark, sf):
     """Out-of-fold scores of the n-gram model."""
-    oof, _ = models.cross_validate(_table(spark, sf), "ngrams", 3, True, models.quick())
+    oof, _ = models.cross_validate(_table(spark, sf), "ngrams", 5, True, models.Settings())
     return oof.selectExpr("url_id", "y", "fold", "round(p, 6) AS p")
 
 
 @query
 def model_comparison(spark, sf):
     """E8."""
-    return models.compare(_table(spark, sf), ("v1", "features"), ("v1",), 3, models.quick(rounds=5, trees=10)).drop("seconds")
+    return models.compare(_table(spark, sf), s=models.Settings()).drop("seconds")
 
 
 @query
 def train_save_load(spark, sf):
     """Train, save with manifest, load, describe."""
-    detector = models.train(_table(spark, sf), "combined", 3, s=models.quick(rounds=5))
+    detector = models.train(_table(spark, sf), "combined", s=models.Settings())
     folder = scratch_path(spark, "model")
     persist.save(spark, detector, folder)
     return models.info(spark, persist.load(spark, folder)).drop("created")
@@ -758,7 +758,7 @@ def train_save_load(spark, sf):
 @query
 def check_with_model(spark, sf):
     """C2-C4 with a fitted detector."""
-    detector = models.build("v1", _table(spark, sf), models.quick())
+    detector = models.build("v1", _table(spark, sf), models.Settings())
     return checking.check(corpus(spark, sf), detector, 0.6, keep=("url_id",)).select("url_id", "verdict", "probability", "site")
 
 
@@ -766,7 +766,7 @@ def check_with_model(spark, sf):
 def out_of_time(spark, sf):
     """Two models on the click log and the page list."""
     table = _table(spark, sf)
-    detectors = {"v1": models.build("v1", table, models.quick()), "ngrams": models.build("ngrams", table, models.quick())}
+    detectors = {"v1": models.build("v1", table, models.Settings()), "ngrams": models.build("ngrams", table, models.Settings())}
     clicks = load(spark, sf, "clicks").selectExpr("'clicks' AS source", "url")
     pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("'pages' AS source", "url")
     return models.out_of_time(detectors, clicks.unionByName(pages))
@@ -776,8 +776,8 @@ def out_of_time(spark, sf):
 def perm_importance(spark, sf):
     """M12, W6."""
     table = folds.holdout_by_site(_table(spark, sf))
-    model = models.fit_part("features", table.where("NOT is_test"), models.quick(rounds=5))
-    return importance.permutation_importance(model, table.where("is_test"), 2).limit(12)
+    model = models.fit_part("features", table.where("NOT is_test"), models.Settings())
+    return importance.permutation_importance(model, table.where("is_test")).limit(12)
 
 
 # ---- streams ----------------------------------------------------------------------------------------
