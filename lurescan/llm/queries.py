@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontaminate, filter_audit, licenses, near_dups, ngram_lm, pii, quality, repeats, search, warc
+from . import bpe, byte_bpe, conversations, decontaminate, filter_audit, licenses, near_dups, ngram_lm, pii, quality, repeats, search, warc
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +93,17 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary(RANKS))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return encoded.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_search, op3_licenses, op4_near_dups, op5_quality, op6_ngram_lm, op7_bpe, op8_decontaminate, op9_repeats, op10_pii, op11_conversations, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_search, op3_licenses, op4_near_dups, op5_quality, op6_ngram_lm, op7_bpe, op8_decontaminate, op9_repeats, op10_pii, op11_conversations, op12_byte_bpe, op13_filter_audit)}
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
