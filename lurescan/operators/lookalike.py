@@ -69,7 +69,7 @@ def match_columns(df: DataFrame, brands=BRANDS, tenants=MULTI_TENANT) -> DataFra
     """Adds, per technique, the array of brand names that it matches."""
     brands = tuple(brands)
     if len(brands) > MAX_LITERAL_BRANDS:
-        raise ValueError(f"{len(brands)} brands: use lookalike_join.find_by_keys for more than {MAX_LITERAL_BRANDS}")
+        raise ValueError(f"{len(brands)} brands: give check() or lookalike_join.with_findings a brand table for more than {MAX_LITERAL_BRANDS}")
     names = str_array(b.brand for b in brands)
     long_names = str_array(b.brand for b in brands if len(b.brand) > 4)
     loose = [b for b in brands if not b.word_only]

@@ -1,8 +1,10 @@
-"""Lookalike findings against a large brand table.
+"""Lookalike findings once per distinct host, for brand tables of any size.
 
-Every technique becomes an equi-join on generated keys between the distinct labels or hosts and the
-brand table, so the cost grows with the keys that meet and not with hosts times brands. For brand
-lists that fit a literal, ``lookalike.find`` gives the same findings without any shuffle.
+What depends on the host alone (its parts, the findings on its label and subdomain) is worked out once per
+distinct host and stored as a *dictionary*; URLs are joined to it without hot tasks, and only path words are left
+to do per URL. A tuple of brands travels as a literal and is matched in the row. A brand table becomes equi-joins
+on generated keys: a Bloom filter of the brands' keys drops keys that match nothing before they are shuffled, each
+key of a brand table is one row, and rows of heavy keys are joined by broadcast and spread.
 """
 
 from __future__ import annotations
@@ -10,14 +12,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import MULTI_TENANT
+from ..dims import BRANDS, MULTI_TENANT
 from ..functions.distance import osa_within, swapped_pairs_of
 from ..functions.skeleton import skeletons, with_base_forms
-from ..functions.text import NO_STRINGS, add, add_once, in_list, words
+from ..functions.text import NO_STRINGS, add, add_once, in_list, str_array, words
 from ..plans.storage import stable
-from .skew import spread_join
+from .bloom import Bloom, bloom_of
+from .features import with_similarity
+from .lookalike import FINDING_TYPE, explode_findings, find, gate, strongest
+from .parts import PART_FIELDS, split_authority, split_front, split_host
+from .skew import spread_join, weighed_join
 
-_RANK = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
+#: a finding with its brand's place, by which findings of one severity are sorted
+PLACED = "array<struct<ord:int,brand:string,technique:string,severity:string,detail:string>>"
+FRONT_PARTS = ("host", "port", "unicode_host", "is_ip", "parse_error")
+HOST_PARTS = ("suffix", "domain", "subdomain", "registered")
+_PATH_WORDS = f"array_distinct({words("concat_ws(' ', path, query)")})"
+_SITE = "'\"', registered, '\"'"
+_BRAND = "'\"', b.brand, '\"'"
+
+
+# --- keys ------------------------------------------------------------------------------------------
 
 
 def deletion_keys(text: str, k: str) -> str:
@@ -39,22 +54,25 @@ def deletion_keys(text: str, k: str) -> str:
 
 
 def _brand_keys(brands: DataFrame, longest: int) -> DataFrame:
-    """(rule, key) rows of the brand table; rules 7-11 are those of the label.
+    """``key, owners``: one row per key of the brand table; a key begins with its rule, 7-11 being those of the label.
 
     Misspellings of brands more than two letters over the longest label are not made, for they match none.
     """
     b = add(brands, {"len": "length(brand)", "edits": "IF(length(brand) >= 9, 2, 1)"})
     spelt = f"IF(NOT word_only AND len BETWEEN 6 AND {longest + 2}, {deletion_keys('brand', 'edits')}, {NO_STRINGS})"
-    keys = f"""concat(
-        array(named_struct('rule', 7, 'key', brand), named_struct('rule', 8, 'key', brand), named_struct('rule', 10, 'key', brand)),
-        IF(NOT word_only AND len > 4, array(named_struct('rule', 11, 'key', brand)), array()),
-        transform({spelt}, x -> named_struct('rule', 9, 'key', x)))"""
-    return add_once(b, {"_keys": keys}).selectExpr("ord", "brand", "edits", "inline(_keys)")
+    keys = f"""concat(array(concat('7:', brand), concat('8:', brand), concat('10:', brand)),
+        IF(NOT word_only AND len > 4, array(concat('11:', brand)), array()),
+        transform({spelt}, x -> concat('9:', x)))"""
+    rows = add_once(b, {"_keys": keys}).selectExpr("ord", "brand", "home", "edits", "explode(_keys) AS key")
+    return rows.groupBy("key").agg(F.collect_list(F.struct("ord", "brand", "home", "edits")).alias("owners"))
+
 
+def _label_keys(labels: DataFrame, longest: int, bloom: Bloom) -> DataFrame:
+    """``domain, shown, key``: the keys of distinct labels that the brand table may hold.
 
-def _label_keys(labels: DataFrame, longest: int) -> DataFrame:
-    """(rule, key) rows of distinct labels. Prefixes and suffixes longer than any brand are not made."""
-    tag = lambda rule, arr: f"transform({arr}, x -> named_struct('rule', {rule}, 'key', x))"
+    Prefixes and suffixes longer than any brand are not made.
+    """
+    tag = lambda rule, arr: f"transform({arr}, x -> concat('{rule}:', x))"
     shapes = f"IF(shown = domain, {skeletons('label_base')}, array_union({skeletons('shown_base')}, {skeletons('label_base')}))"
     ends = f"IF(length(domain) >= 5, sequence(5, least(length(domain), {longest})), CAST(array() AS array<int>))"
     affixes = f"array_distinct(concat(transform({ends}, n -> left(domain, n)), transform({ends}, n -> right(domain, n))))"
@@ -66,67 +84,168 @@ def _label_keys(labels: DataFrame, longest: int) -> DataFrame:
         {"_r7": "array(domain)", "_r8": shapes, "_r9": near, "_r10": f"IF(size({words('shown')}) > 1, {words('shown')}, {NO_STRINGS})", "_r11": affixes},
     )
     every = ", ".join(tag(r, f"_r{r}") for r in (7, 8, 9, 10, 11))
-    keyed = add_once(arrays, {"_keys": f"array_distinct(concat({every}))"})
-    return keyed.selectExpr("domain", "shown", "inline(_keys)")
+    keyed = add_once(arrays, {"_keys": f"filter(array_distinct(concat({every})), x -> {bloom.has('x')})"})
+    return keyed.selectExpr("domain", "shown", "explode(_keys) AS key")
 
 
 def label_findings(labels: DataFrame, brands: DataFrame) -> DataFrame:
-    """``(domain, shown, ord, brand, technique, severity)``: the first rule that holds per label and brand.
+    """``(domain, shown, ord, brand, home, rule)``: the first rule that holds per label and brand.
 
     ``labels``: distinct ``(domain, shown)``; ``brands``: ``(ord, brand, official, home, word_only)``.
     """
     # a key longer than every brand matches none
     longest = brands.agg(F.max(F.length("brand"))).first()[0] or 0
     reach = labels.agg(F.max(F.length("domain"))).first()[0] or 0
-    pairs = _label_keys(labels, longest).join(_brand_keys(brands, reach), ["rule", "key"])
+    owned = stable(_brand_keys(brands, reach), "brand-keys")
+    asked = stable(_label_keys(labels, longest, bloom_of(owned, "key")), "label-keys")
+    met = weighed_join(asked, owned, "key", ["owners"], "inner")
+    pairs = met.selectExpr("CAST(substring_index(key, ':', 1) AS INT) AS rule", "domain", "shown", "inline(owners)")
     # many keys can lead to the same pair: keep one before the distance is computed
-    pairs = pairs.select("rule", "domain", "shown", "ord", "brand", "edits").distinct()
+    pairs = pairs.groupBy("rule", "domain", "shown", "ord", "brand", "home", "edits").agg(F.count(F.lit(1)))
     pairs = add(pairs, {"swaps": f"IF(rule = 9, {swapped_pairs_of('brand')}, {NO_STRINGS})"})
     holds = f"CASE rule WHEN 8 THEN shown <> brand WHEN 9 THEN {osa_within('domain', 'brand', 'edits', 'swaps')} ELSE true END"
-    first = pairs.where(holds).groupBy("domain", "shown", "ord", "brand").agg(F.min("rule").alias("rule"))
-    return first.selectExpr(
-        "domain", "shown", "ord", "brand",
-        "CASE rule WHEN 7 THEN 'unofficial-domain' WHEN 8 THEN 'homoglyph' WHEN 9 THEN 'typosquat' ELSE 'combosquat' END AS technique",
-        "CASE rule WHEN 7 THEN 'medium' WHEN 10 THEN 'medium' WHEN 11 THEN 'low' ELSE 'high' END AS severity",
-    )
-
-
-def candidate_hosts(df: DataFrame, brands: DataFrame, tenants=MULTI_TENANT) -> DataFrame:
-    """Distinct hosts that pass the gate (L4), by anti-joins against official domains and brand suffixes."""
-    hosts = df.where("NOT is_ip AND domain <> ''").groupBy("host").agg(
-        F.count(F.lit(1)).alias("urls"), *[F.first(c).alias(c) for c in ("unicode_host", "domain", "suffix", "registered", "subdomain")]
-    )
+    return pairs.where(holds).groupBy("domain", "shown", "ord", "brand", "home").agg(F.min("rule").alias("rule"))
+
+
+# --- the dictionary of hosts ---------------------------------------------------------------------------
+
+
+def _shown() -> str:
+    label = "substring_index(substring_index(unicode_host, '.', -(size(split(suffix, '[.]')) + 1)), '.', 1)"
+    return f"IF(suffix <> '', {label}, domain)"
+
+
+def _literal_findings(hosts: DataFrame, brands, tenants) -> DataFrame:
+    """Adds ``found`` and ``sub_words`` (null: the host fails the gate, L4); the brands travel as literals."""
+    names = str_array(b.brand for b in brands)
+    matched = find(add(hosts, {"path": "''", "query": "''"}), brands, tenants, keep_matches=True)
+    placed = f"transform(lookalike, f -> named_struct('ord', CAST(array_position({names}, f.brand) AS INT), 'brand', f.brand, 'technique', f.technique, 'severity', f.severity, 'detail', f.detail))"
+    return matched.selectExpr(*[f"`{c}`" for c in hosts.columns], f"{placed} AS found", f"IF({gate(brands, tenants)}, _sub_words, NULL) AS sub_words")
+
+
+def _flag(hosts: DataFrame, column: str, known: DataFrame, name: str) -> DataFrame:
+    """Adds whether ``known`` (distinct, one column like ``column``) holds a host's value; values are as skewed as can be."""
+    return weighed_join(hosts, known.withColumn(name, F.lit(True)), column, [name])
+
+
+def _table_findings(hosts: DataFrame, brands: DataFrame, tenants) -> DataFrame:
+    """The same by key joins with a brand table."""
+    hosts = stable(hosts, "hosts")
     official = brands.select(F.explode("official").alias("registered")).distinct().where(f"NOT {in_list('registered', tenants)}")
-    hosts = hosts.join(official, "registered", "left_anti").join(brands.select(F.col("brand").alias("suffix")), "suffix", "left_anti")
-    shown = "substring_index(substring_index(unicode_host, '.', -(size(split(suffix, '[.]')) + 1)), '.', 1)"
-    return add_once(hosts, {"shown": f"IF(suffix <> '', {shown}, domain)", "tenant": in_list("registered", tenants), "sub_words": f"array_distinct({words('subdomain')})"})
-
-
-def find_by_keys(df: DataFrame, brands: DataFrame, key: str = "url_id", tenants=MULTI_TENANT) -> DataFrame:
-    """One row per finding ``(key, ord, brand, technique, severity)`` for a table with parts."""
-    # the hosts are read five times below: written once, so that the URLs are parsed once for them
-    hosts = stable(candidate_hosts(df, brands, tenants), "hosts")
-    labels = hosts.where("NOT tenant").select("domain", "shown").distinct()
-    on_label = hosts.where("NOT tenant").select("host", "domain", "shown").join(label_findings(labels, brands), ["domain", "shown"])
-    inside = "exists(official, d -> contains(concat(subdomain, '.'), concat(d, '.')))"
-    on_sub = (
-        hosts.select("host", "subdomain", F.explode("sub_words").alias("brand"))
-        .join(brands.select("ord", "brand", "official"), "brand")
-        .selectExpr("host", "ord", "brand", "'brand-in-subdomain' AS technique", f"IF({inside}, 'high', 'medium') AS severity")
+    flagged = _flag(hosts, "registered", official, "_official")
+    flagged = _flag(stable(flagged, "hosts-official"), "suffix", brands.select(F.col("brand").alias("suffix")).distinct(), "_own_suffix")
+    passes = "NOT is_ip AND domain <> '' AND _official IS NULL AND _own_suffix IS NULL"
+    flagged = add(flagged, {"_gate": f"coalesce({passes}, false)"})
+    ready = stable(
+        add_once(flagged, {"shown": f"IF(_gate, {_shown()}, NULL)", "_label": f"IF(_gate AND NOT {in_list('registered', tenants)}, concat(domain, '/', {_shown()}), NULL)", "sub_words": f"IF(_gate, array_distinct({words('subdomain')}), NULL)"}),
+        "hosts-ready",
     )
-    columns = ["host", "ord", "brand", "technique", "severity"]
-    per_host = add(on_label.select(*columns), {"stage": "0"}).unionByName(add(on_sub, {"stage": "1"}))
-    best = f"max_by(named_struct('technique', technique, 'severity', severity), named_struct('s', {_RANK}, 'e', -stage))"
-    per_host = per_host.groupBy("host", "ord", "brand").agg(F.expr(best).alias("f"))
-    per_host = per_host.groupBy("host").agg(F.collect_list(F.expr("named_struct('ord', ord, 'brand', brand, 'technique', f.technique, 'severity', f.severity)")).alias("found"))
-    known = stable(hosts.select("host", "urls", "sub_words").join(per_host, "host", "left"), "host-findings")
-    # back to the URLs in one pass; hosts that fail the gate are not in `known`
-    urls = spread_join(df.select(key, "host", "path", "query"), known, "host", "urls", ["found", "sub_words"]).where("sub_words IS NOT NULL")
-    # words of the path count unless the subdomain names the brand or a finding of another kind,
-    # which is at least as strong and comes first, exists for it
-    words_left = f"array_except(array_except({words("concat_ws(' ', path, query)")}, sub_words), transform(coalesce(found, array()), f -> f.brand))"
-    path = "named_struct('ord', CAST(NULL AS INT), 'brand', w, 'technique', 'brand-in-path', 'severity', 'low')"
-    items = add_once(urls, {"_items": f"concat(coalesce(found, array()), transform(filter({words_left}, w -> length(w) > 4), w -> {path}))"})
-    rows = items.selectExpr(f"`{key}`", "inline(_items)").withColumnRenamed("ord", "_ord")
-    named = rows.join(brands.select("ord", "brand"), "brand").where("_ord IS NULL OR _ord = ord")
-    return named.select(key, "ord", "brand", "technique", "severity")
+    labels = ready.where("_label IS NOT NULL").groupBy("_label").agg(F.first("domain").alias("domain"), F.first("shown").alias("shown"), F.count(F.lit(1)).alias("_weight"))
+    labels = stable(labels, "labels")
+    on_label = label_findings(labels, brands).withColumn("_label", F.concat_ws("/", "domain", "shown"))
+    on_label = on_label.groupBy("_label").agg(F.collect_list(F.struct("ord", "brand", "home", "rule")).alias("on_label"))
+    on_label = stable(labels.select("_label", "_weight").join(on_label, "_label"), "label-findings")
+    with_label = spread_join(ready, on_label, "_label", "_weight", ["on_label"])
+    # brands that subdomains name: words first meet the filter, then the table
+    named = bloom_of(brands, "brand")
+    asked = stable(ready.selectExpr("host", f"explode(filter(sub_words, w -> {named.has('w')})) AS brand"), "subdomain-words")
+    around = weighed_join(asked, brands.select("brand", "ord", "home", "official"), "brand", ["ord", "home", "official"], "inner")
+    around = around.groupBy("host").agg(F.collect_list(F.struct("ord", "brand", "home", "official")).alias("on_sub"))
+    out = with_label.join(around, "host", "left")
+    kind = "IF(host <> unicode_host, ' is an internationalised (punycode) look-alike of ', ' is a look-alike of ')"
+
+    def finding(technique: str, severity: str, *detail: str) -> str:
+        return f"named_struct('ord', b.ord, 'brand', b.brand, 'technique', '{technique}', 'severity', '{severity}', 'detail', concat({', '.join(detail)}))"
+
+    label = f"""transform(coalesce(on_label, array()), b -> CASE b.rule
+        WHEN 7 THEN {finding('unofficial-domain', 'medium', _SITE, "' is the name of the brand outside its known domains, such as '", 'b.home')}
+        WHEN 8 THEN {finding('homoglyph', 'high', "'\"', unicode_host, '\"'", kind, 'b.home')}
+        WHEN 9 THEN {finding('typosquat', 'high', _SITE, "' is a misspelling of '", 'b.home')}
+        WHEN 10 THEN {finding('combosquat', 'medium', _SITE, "' joins the brand '", _BRAND, "' with other words'")}
+        ELSE {finding('combosquat', 'low', _SITE, "' begins or ends with the brand '", _BRAND)} END)"""
+    inside = "exists(b.official, d -> contains(concat(subdomain, '.'), concat(d, '.')))"
+    sub = f"""transform(coalesce(on_sub, array()), b -> IF({inside},
+        {finding('brand-in-subdomain', 'high', 'b.home', "' stands in front of another site, '", _SITE)},
+        {finding('brand-in-subdomain', 'medium', "'the subdomain names '", 'b.brand', "' but the site is '", _SITE)}))"""
+    out = add_once(out, {"_on_label": label, "_on_sub": sub})
+    rank = lambda f: f"CASE {f}.severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
+    # per brand the stronger of the two, the label's on ties
+    stays = f"filter(_on_label, f -> NOT exists(_on_sub, g -> g.brand = f.brand AND {rank('g')} > {rank('f')}))"
+    added = f"filter(_on_sub, g -> NOT exists(_on_label, f -> f.brand = g.brand AND {rank('f')} >= {rank('g')}))"
+    every = add_once(out, {"_every": f"array_sort(concat({stays}, {added}))"})
+    levels = ", ".join(f"filter(_every, f -> f.severity = '{s}')" for s in ("high", "medium", "low"))
+    return every.selectExpr(*[f"`{c}`" for c in hosts.columns], f"CAST(concat({levels}) AS {PLACED}) AS found", "sub_words")
+
+
+def dictionary(urls: DataFrame, brands=BRANDS, rules: DataFrame | None = None, tenants=MULTI_TENANT, similarity: bool = False) -> DataFrame:
+    """One stored row per distinct ``authority`` (host with port and user) of a URL table.
+
+    ``urls`` (how many), the authority's parts and those of its host, ``found`` (placed findings) and ``sub_words``,
+    both null where the host fails the gate; ``brand_similarity`` (F39) on request, for a tuple of brands.
+    ``brands``: a tuple, or a table ``(ord, brand, official, home, word_only)`` with one row per brand.
+    """
+    fronts = urls.where("authority IS NOT NULL").groupBy("authority").agg(F.count(F.lit(1)).alias("urls"))
+    fronts = stable(split_authority(fronts), "authorities")
+    hosts = fronts.groupBy("host").agg(F.count(F.lit(1)).alias("_weight"), F.first("unicode_host").alias("unicode_host"), F.first("is_ip").alias("is_ip"))
+    hosts = split_host(hosts, rules)
+    if similarity:
+        hosts = with_similarity(hosts, BRANDS if isinstance(brands, DataFrame) else brands)
+    found = _table_findings(hosts, brands, tenants) if isinstance(brands, DataFrame) else _literal_findings(hosts, tuple(brands), tenants)
+    found = stable(add(found, {"found": "IF(sub_words IS NULL, NULL, found)"}), "hosts-found")
+    columns = [*HOST_PARTS, *(["brand_similarity"] if similarity else []), "found", "sub_words"]
+    return stable(spread_join(fronts, found, "host", "_weight", columns), "host-dictionary")
+
+
+# --- URLs ------------------------------------------------------------------------------------------------
+
+
+def _path_candidates(urls: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """URLs with ``_asked`` (their path words that may be brands, as one text), and ``_asked, _weight, _named``: the
+    brands among these words, once per distinct set of words."""
+    bloom = bloom_of(brands, "brand")
+    some = f"filter({_PATH_WORDS}, w -> length(w) > 4 AND {bloom.has('w')})"
+    urls = add_once(urls, {"_asked": f"nullif(array_join(array_sort({some}), ' '), '')"})
+    sets = stable(urls.where("_asked IS NOT NULL").groupBy("_asked").agg(F.count(F.lit(1)).alias("_weight")), "path-words")
+    each = stable(sets.selectExpr("_asked", "explode(split(_asked, ' ')) AS brand"), "path-word")
+    met = weighed_join(each, brands.select("brand", "ord"), "brand", ["ord"], "inner")
+    named = met.groupBy("_asked").agg(F.collect_list(F.struct("ord", "brand")).alias("_named"))
+    return urls, stable(sets.join(named, "_asked"), "path-brands")
+
+
+def with_findings(df: DataFrame, brands=BRANDS, rules: DataFrame | None = None, tenants=MULTI_TENANT, similarity: bool = False, url: str = "url", hosts: DataFrame | None = None) -> DataFrame:
+    """Adds all parts, ``lookalike`` and ``lookalike_severity``, as ``with_parts`` and ``find`` do, host work done once per host.
+
+    ``hosts``: the ``dictionary`` of these URLs, if the caller has it already.
+    """
+    urls = split_front(df.drop(*PART_FIELDS), url)
+    known = dictionary(urls, brands, rules, tenants, similarity) if hosts is None else hosts
+    extra = ["brand_similarity"] if similarity else []
+    given = [c for c in df.columns if c not in (*PART_FIELDS, *extra)]
+    if isinstance(brands, DataFrame):
+        urls, named = _path_candidates(urls, brands)
+        urls = spread_join(urls, named, "_asked", "_weight", ["_named"])
+        hits = "coalesce(_named, array())"
+    else:
+        long_names = [b for b in brands if len(b.brand) > 4]
+        names = str_array(b.brand for b in brands)
+        met = f"array_intersect({_PATH_WORDS}, {str_array(b.brand for b in long_names)})"
+        hits = f"transform({met}, w -> named_struct('ord', CAST(array_position({names}, w) AS INT), 'brand', w))"
+    out = spread_join(urls, known, "authority", "urls", [*FRONT_PARTS, *HOST_PARTS, *extra, "found", "sub_words"])
+    empty = {c: f"IF(authority IS NULL, '', {c})" for c in ("suffix", "domain", "subdomain")} | {"parse_error": "coalesce(parse_error, false)"}
+    out = add(out, empty | {c: f"coalesce({c}, 0D)" for c in extra})
+    # a brand in the path counts unless the host shows it in some way, which is at least as strong
+    fresh = f"filter({hits}, b -> NOT array_contains(sub_words, b.brand) AND NOT exists(found, f -> f.brand = b.brand))"
+    detail = f"concat('the path names ', b.brand, ' on an unrelated site, ', {_SITE})"
+    rows = f"transform({fresh}, b -> named_struct('ord', b.ord, 'brand', b.brand, 'technique', 'brand-in-path', 'severity', 'low', 'detail', {detail}))"
+    out = add_once(out, {"_path_found": f"IF(sub_words IS NULL, CAST(array() AS {PLACED}), {rows})"})
+    low = "array_sort(concat(filter(found, f -> f.severity = 'low'), _path_found))"
+    every = f"IF(size(_path_found) = 0, found, concat(filter(found, f -> f.severity <> 'low'), {low}))"
+    shown = f"transform({every}, f -> named_struct('brand', f.brand, 'technique', f.technique, 'severity', f.severity, 'detail', f.detail))"
+    out = add_once(out, {"lookalike": f"IF(sub_words IS NULL, CAST(array() AS {FINDING_TYPE}), {shown})"})
+    return out.selectExpr(*[f"`{c}`" for c in given], *PART_FIELDS, *extra, "lookalike", f"{strongest('lookalike')} AS lookalike_severity")
+
+
+def find_by_keys(df: DataFrame, brands: DataFrame, key: str = "url_id", tenants=MULTI_TENANT, url: str = "url") -> DataFrame:
+    """One row per finding ``(key, pos, brand, technique, severity, detail)`` of a URL table, strongest first per URL."""
+    found = with_findings(df, brands, tenants=tenants, url=url)
+    return explode_findings(found, key)

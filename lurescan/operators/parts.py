@@ -51,6 +51,21 @@ def split_url(df: DataFrame, url: str = "url", pushable: bool = False) -> DataFr
     )
 
 
+def split_front(df: DataFrame, url: str = "url") -> DataFrame:
+    """Scheme, authority, path and query: what differs between URLs of one site. SQL functions only."""
+    df = add(df.drop("scheme", "authority", "path", "query"), {"_clean": U.drop_unsafe(U.with_scheme(f"`{url}`"))})
+    return add_once(df, {"scheme": U.scheme_of("_clean"), "authority": U.authority_of("_clean"), "path": U.path_of("_clean"), "query": U.query_of("_clean")}, drop=("_clean",))
+
+
+def split_authority(df: DataFrame) -> DataFrame:
+    """Host, port and flags of ``authority``; Unicode work runs in Python workers, so give it distinct authorities."""
+    df = add(df, {"_hostport": U.host_port("authority")})
+    df = add(df, {"host": U.host_of("_hostport"), "_plain": U.without_delimiters("authority")})
+    df = add(df, {"_encoded": U.encoded_host("host")}).withColumns({"_encoded": shown_host()("_encoded"), "_composed": nfkc()("_plain")})
+    out = {"port": U.port_of("_hostport"), "parse_error": U.is_malformed("authority", "_hostport", "_plain", "_composed"), "unicode_host": "coalesce(_encoded, host)", "is_ip": U.is_ip("host")}
+    return add_once(df, out, drop=("_hostport", "_plain", "_encoded", "_composed"))
+
+
 def _suffix_length(deepest: int) -> str:
     """Number of labels in the public suffix, from the rule flags of the last labels; 0 if unlisted."""
     best = "0"

@@ -112,9 +112,46 @@ url_big AS (
     FROM {{lineitem}} x) l
   JOIN url_corpus c ON c.url_id = l.pick)"""
 
+# a brand table as long as the documents have words, and URLs that play on these words
+WORD_BRAND_CTES = f"""brand_dim AS ({BRAND_DIM}),
+doc_words AS (SELECT doc_id, {{words}} AS w FROM {{documents}}),
+doc_word AS (SELECT DISTINCT {{explode}}(w) AS brand FROM doc_words),
+word_brand AS (
+  SELECT ord, brand, home, word_only FROM brand_dim
+  UNION ALL SELECT 1000 + CAST({{number}} AS INT), brand, concat(brand, '.test'), false FROM doc_word WHERE brand NOT IN (SELECT brand FROM brand_dim)),
+word_official AS (
+  SELECT brand, official FROM ({OFFICIAL_DIM}) o
+  UNION ALL SELECT brand, concat(brand, '.test') FROM word_brand WHERE ord >= 1000),
+doc_base AS (SELECT doc_id, {{first}} AS a, {{last}} AS b FROM doc_words WHERE {{size}}(w) > 0),
+word_urls AS (
+  SELECT doc_id AS url_id, CASE doc_id % 8
+    WHEN 0 THEN concat('https://', a, '.com/') WHEN 1 THEN concat('http://login-', a, '.net/x?y=', b) WHEN 2 THEN concat('https://', substr(a, 1, 1), substr(a, 3), '.org/', b)
+    WHEN 3 THEN concat('https://', a, '.', b, '.info/') WHEN 4 THEN concat('https://site', CAST(doc_id AS VARCHAR(20)), '.com/', a, '/', b, '/', a) WHEN 5 THEN concat('https://www.', a, '.test/', b)
+    WHEN 6 THEN concat('http://user@', a, '.test.', b, 's.com:81/') ELSE concat('https://a.login.', a, b, '.xyz/login') END AS url
+  FROM doc_base)"""
+
 TABLE_CTES = {"url_corpus": CORPUS_CTES, "url_raw": RAW_CTES, "clicks": CLICKS_CTES, "url_big": BIG_CTES}
 
 
+_WORDS = {
+    "spark": {"words": "filter(regexp_extract_all(lower(text), '[a-z]+', 0), x -> length(x) >= 9)", "explode": "explode", "number": "conv(substr(md5(brand), 1, 7), 16, 10)", "first": "element_at(w, 1)", "last": "element_at(w, -1)", "size": "size"},
+    "duckdb": {"words": "list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 9)", "explode": "unnest", "number": "'0x' || substr(md5(brand), 1, 7)", "first": "w[1]", "last": "w[-1]", "size": "len"},
+}
+
+
+def duckdb_word_brands() -> str:
+    """CTEs of the word brands and their URLs, in DuckDB's words."""
+    return WORD_BRAND_CTES.format(documents="documents", **_WORDS["duckdb"])
+
+
+def word_brands(spark, sf_dir: str):
+    """(URLs, brand table) of the documents' words of nine letters or more."""
+    ctes = WORD_BRAND_CTES.format(documents=f"parquet.`{sf_dir}/documents.parquet`", **_WORDS["spark"])
+    urls = spark.sql(f"WITH {ctes} SELECT url_id, url FROM word_urls")
+    brands = spark.sql(f"WITH {ctes} SELECT b.ord, b.brand, collect_list(o.official) AS official, b.home, b.word_only FROM word_brand b JOIN word_official o ON o.brand = b.brand GROUP BY ALL")
+    return urls, brands
+
+
 def duckdb_with(table: str) -> str:
     """``WITH ...`` prefix that defines a fixture table over the registered views."""
     return "WITH RECURSIVE " + TABLE_CTES[table].format(pages="pages", events="events", lineitem="lineitem")

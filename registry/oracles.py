@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from lurescan import dims
 
-from .corpus import BRAND_DIM, OFFICIAL_DIM, duckdb_with
+from .corpus import BRAND_DIM, OFFICIAL_DIM, duckdb_with, duckdb_word_brands
 
 SWEEP = (0.5, 0.55, 0.6, 0.65, 0.7, 0.7478, 0.8, 0.9)
 
@@ -97,6 +97,29 @@ per_url AS (SELECT p.*, coalesce(f.sev, 0) AS sev, coalesce(f.text, 'none') AS f
   (SELECT url_id, max(sev) AS sev, string_agg(brand || ': ' || technique || ' (' || severity || ')', '; ' ORDER BY pos) AS text FROM findings GROUP BY url_id) f
   ON p.url_id = f.url_id)"""
 
+# the sentence of a finding ``f`` on the host of ``p``
+DETAIL = """CASE f.technique
+  WHEN 'unofficial-domain' THEN '"' || p.registered || '" is the name of the brand outside its known domains, such as ' || b.home
+  WHEN 'homoglyph' THEN '"' || p.unicode_host || '"' || CASE WHEN p.host <> p.unicode_host THEN ' is an internationalised (punycode) look-alike of ' ELSE ' is a look-alike of ' END || b.home
+  WHEN 'typosquat' THEN '"' || p.registered || '" is a misspelling of ' || b.home
+  WHEN 'combosquat' THEN '"' || p.registered || '"' || CASE f.severity WHEN 'medium' THEN ' joins the brand "' || f.brand || '" with other words' ELSE ' begins or ends with the brand "' || f.brand || '"' END
+  WHEN 'brand-in-subdomain' THEN CASE f.severity WHEN 'high' THEN b.home || ' stands in front of another site, "' || p.registered || '"' ELSE 'the subdomain names ' || f.brand || ' but the site is "' || p.registered || '"' END
+  ELSE 'the path names ' || f.brand || ' on an unrelated site, "' || p.registered || '"' END"""
+DETAILS = f"details AS (SELECT f.url_id, f.pos, f.brand, {DETAIL} AS detail FROM findings f JOIN p ON p.url_id = f.url_id JOIN brand b ON b.brand = f.brand)"
+
+# the same rules for a long brand table: only pairs that some test could accept, misspellings by distance alone
+_MAYBE = """maybe AS MATERIALIZED (
+  SELECT DISTINCT host, brand FROM (
+    SELECT h.host, unnest(list_concat(list_concat(h.shapes, h.label_words), list_concat(h.sub_words, list_concat([h.domain], list_concat(
+      list_transform(range(1, length(h.domain) + 1), lambda i: h.domain[:i]), list_transform(range(1, length(h.domain) + 1), lambda i: h.domain[i:])))))) AS brand FROM label_forms h
+    UNION ALL SELECT p.host, unnest(regexp_extract_all(lower(p.path || ' ' || p.query), '[a-z]+')) FROM p
+    UNION ALL SELECT h.host, b.brand FROM label_forms h JOIN brand b ON length(b.brand) BETWEEN length(h.domain) - 2 AND length(h.domain) + 2
+      AND CASE WHEN b.word_only OR length(b.brand) < 6 THEN false ELSE damerau_levenshtein(h.domain, b.brand) <= CASE WHEN length(b.brand) >= 9 THEN 2 ELSE 1 END END)),
+"""
+WORD_MATCH = MATCH.replace(f"official AS ({OFFICIAL_DIM})", "official AS (SELECT * FROM word_official)").replace("brand AS (SELECT * FROM brand_dim)", "brand AS (SELECT * FROM word_brand)")
+WORD_MATCH = WORD_MATCH.replace("rules AS (SELECT", _MAYBE + "rules AS (SELECT", 1).replace("FROM label_forms h, brand b WHERE h.gate)", "FROM label_forms h JOIN maybe q ON q.host = h.host JOIN brand b ON b.brand = q.brand WHERE h.gate)")
+WORD_URLS = f"WITH RECURSIVE {duckdb_word_brands()}, {parts('word_urls')}, {WORD_MATCH}, {DETAILS}"
+
 # full swap-aware distance, one row of the table per step
 DISTANCE = """
 dist(domain, brand, i, before, prev) AS (
@@ -297,6 +320,9 @@ ORACLES = {
     "look_subdomain": f"{ON_CORPUS}, {MATCH} SELECT url_id, brand, severity FROM findings WHERE technique = 'brand-in-subdomain'",
     "look_best_per_brand": f"{ON_CORPUS}, {MATCH} SELECT url_id, pos, brand, technique, severity FROM findings",
     "look_severity": f"{ON_CORPUS}, {MATCH} SELECT url_id, sev AS lookalike_severity FROM per_url",
+    "look_details": f"{ON_CORPUS}, {MATCH}, {DETAILS} SELECT url_id, pos, brand, detail FROM details",
+    "check_brand_table": f"""{WORD_URLS} SELECT u.url_id, CASE WHEN u.sev = 3 THEN 'phishing' ELSE 'legitimate' END AS verdict, u.registered AS site, u.findings, coalesce(d.text, '') AS details
+      FROM per_url u LEFT JOIN (SELECT url_id, string_agg(detail, '; ' ORDER BY pos) AS text FROM details GROUP BY 1) d ON d.url_id = u.url_id""",
     "look_by_keys": f"{ON_CORPUS}, {MATCH} SELECT url_id, brand, technique, severity FROM findings",
     "signals": f"{ON_CORPUS} SELECT url_id, {_SIGNALS} AS codes FROM p",
     "check_verdicts": f"""{_SCORED_RAW} SELECT url_id, {_verdict(0.75)} AS verdict, CASE WHEN {VALID} THEN round(sp, 4) END AS probability,

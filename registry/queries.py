@@ -12,8 +12,8 @@ from lurescan.functions.text import add, in_list
 from lurescan.operators import evaluate, folds, ngrams, profile
 from lurescan.operators.features import extract, v1_features, with_similarity
 from lurescan.operators.generate import brand_group, lookalikes
-from lurescan.operators.lookalike import find, findings_text, label_columns, match_columns
-from lurescan.operators.lookalike_join import find_by_keys
+from lurescan.operators.lookalike import explode_findings, find, findings_text, label_columns, match_columns
+from lurescan.operators.lookalike_join import find_by_keys, with_findings
 from lurescan.operators.parts import parts_struct, site_key, with_parts
 from lurescan.operators.signals import signal_codes
 from lurescan.plans import check as checking
@@ -22,7 +22,7 @@ from lurescan.plans.storage import scratch_path
 from lurescan.sources import readers, sinks
 from lurescan.streaming import score as streaming
 
-from .corpus import load
+from .corpus import load, word_brands
 
 QUERIES = {}
 SWEEP = (0.5, 0.55, 0.6, 0.65, 0.7, 0.7478, 0.8, 0.9)
@@ -404,7 +404,21 @@ def look_severity(spark, sf):
 def look_by_keys(spark, sf):
     """The same findings through equi-joins on generated keys."""
     brands = spark.createDataFrame([tuple(b) for b in dims.BRANDS], "ord int, brand string, official array<string>, home string, word_only boolean")
-    return find_by_keys(parsed(spark, sf), brands).select("url_id", "brand", "technique", "severity")
+    return find_by_keys(corpus(spark, sf), brands).select("url_id", "brand", "technique", "severity")
+
+
+@query
+def look_details(spark, sf):
+    """The sentence shown with every finding, in order."""
+    return explode_findings(found(spark, sf), "url_id").select("url_id", "pos", "brand", "detail")
+
+
+@query
+def check_brand_table(spark, sf):
+    """check() against a table of brands that is too long for a literal."""
+    urls, brands = word_brands(spark, sf)
+    rows = checking.check(urls, keep=("url_id",), brands=brands)
+    return rows.selectExpr("url_id", "verdict", "site", f"{findings_text('lookalike')} AS findings", "array_join(transform(lookalike, f -> f.detail), '; ') AS details")
 
 
 @query
@@ -413,7 +427,7 @@ def look_large_table(spark, sf):
     text = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.expr("array_distinct(regexp_extract_all(lower(text), '[a-z]+', 0))")).alias("brand"))
     brands = text.distinct().selectExpr("CAST(hash(brand) AS INT) AS ord", "brand", "array(concat(brand, '.test')) AS official", "concat(brand, '.test') AS home", "false AS word_only")
     pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id AS url_id", "regexp_replace(url, '[.]example[.]', '.') AS url")
-    return find_by_keys(with_parts(pages), brands).groupBy("technique", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("brand").alias("brands"))
+    return find_by_keys(pages, brands).groupBy("technique", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("brand").alias("brands"))
 
 
 # ---- signals, verdicts ------------------------------------------------------------------------------
@@ -830,14 +844,14 @@ def parts_packed(spark, sf):
 @query
 def big_log_findings(spark, sf):
     """Whole line-item URL log: findings by technique."""
-    rows = find(with_parts(load(spark, sf, "url_big")))
+    rows = with_findings(load(spark, sf, "url_big"))
     return rows.selectExpr("inline(lookalike)").groupBy("technique", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def big_log_verdicts(spark, sf):
     """Whole line-item URL log: verdicts per class of site."""
-    rows = checking.check(load(spark, sf, "url_big"), keep=("url_id",))
+    rows = checking.check(load(spark, sf, "url_big"), keep=("url_id",), per_host=True)
     return rows.groupBy("verdict").agg(F.count(F.lit(1)).alias("urls"), F.count_distinct("site").alias("sites"))
 
 
