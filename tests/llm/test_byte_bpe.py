@@ -13,7 +13,8 @@ from lurescan.llm.queries import QUERIES, RANKS, vocabulary
 
 SHAPE = "doc_id bigint, text string, ids string, words string, known int"
 PATH = vocabulary(RANKS)
-LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(PATH), special_tokens={})
+RANK = byte_bpe.ranks(PATH)
+LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANK, special_tokens={})
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +26,10 @@ def rows():
     return list(enumerate(odd + made)) + [(None, "no id"), (3, "same id"), (3, "same id")]
 
 
-@pytest.mark.parametrize("fold_bytes", [60, 6])
+@pytest.mark.parametrize("fold_bytes", [60, 6, None])
 def test_ids_and_text_equal_the_library(spark, rows, fold_bytes):
     docs = spark.createDataFrame([(*r, "i", "w", 1) for r in rows], SHAPE).repartition(3)
-    out = byte_bpe.encode(docs, PATH, block_bytes=9_000, fold_bytes=fold_bytes)
+    out = byte_bpe.encode_folded(docs, PATH, block_bytes=9_000, fold_bytes=fold_bytes) if fold_bytes else byte_bpe.encode(docs, PATH, block_bytes=9_000)
     got = collections.Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded) for r in out.collect())
     want = collections.Counter()
     for i, t in rows:
@@ -44,7 +45,7 @@ def test_every_character_is_cut_as_the_library_cuts_it():
         if not 0xD800 <= code < 0xE000 and code % 7 == 0:
             text = f"a{chr(code)}1{chr(code)}! {chr(code)}'s"
             assert "".join(split(text)) == text
-            ids = [i for w in split(text) for i in (byte_bpe.merge_long(w.encode(), PATH))]
+            ids = [i for w in split(text) for i in (byte_bpe.merge(w.encode(), RANK))]
             assert ids == LIBRARY.encode_ordinary(text), hex(code)
 
 
@@ -52,11 +53,14 @@ def test_long_words():
     rng = random.Random(2)
     for n in (1, 2, 61, 1_000):
         word = bytes(rng.choice(b"abcdefgh") for _ in range(n))
-        assert byte_bpe.merge_long(word, PATH) == LIBRARY.encode_ordinary(word.decode())
+        assert byte_bpe.merge(word, RANK) == LIBRARY.encode_ordinary(word.decode())
 
 
 def test_empty_table(spark):
-    assert byte_bpe.encode(spark.createDataFrame([], SHAPE), PATH).count() == 0
+    none = spark.createDataFrame([], SHAPE)
+    assert byte_bpe.encode(none, PATH).count() == byte_bpe.encode_folded(none, PATH).count() == 0
+    blank = spark.createDataFrame([(1, None, "i", "w", 1), (2, "", "i", "w", 1)], SHAPE)
+    assert [(r.n_tokens, r.ids, r.decoded) for r in byte_bpe.encode(blank, PATH).collect()] == [(0, [], "")] * 2
 
 
 def test_query(spark):
