@@ -1,7 +1,7 @@
 """Evaluation of scores. Input: a table with ``y`` (0/1) and ``p``.
 
 Cumulative sums never sort everything in one task: rows are first counted per distinct score, then
-summed inside value ranges of similar size, with the few range totals added as offsets.
+summed inside ranges of bounded length, with the range totals added as offsets (``ranked``).
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import add
+from .ranked import ROWS_PER_RANGE, running
 
-RANGES = 256
 GRID = 10_000
 
 
@@ -40,26 +40,12 @@ def confusion(scores: DataFrame, t: float = 0.5) -> DataFrame:
     return m.selectExpr("stack(4, 0, 0, tn, 0, 1, fp, 1, 0, fn, 1, 1, tp) AS (y, predicted, n)")
 
 
-def cumulative(scores: DataFrame, by: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
+def cumulative(scores: DataFrame, by: tuple[str, ...] = (), rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Per group and distinct score: ``pos``, ``neg`` at it and ``cum_pos``, ``cum_neg`` at or above it."""
     per_score = scores.where("p IS NOT NULL").groupBy(*by, "p").agg(
         F.expr("count_if(y = 1)").alias("pos"), F.expr("count_if(y = 0)").alias("neg")
     )
-    # cut points of similar weight, at most `ranges` numbers on the driver: they stay balanced when
-    # scores crowd together, and as constants they are the same in both uses below
-    cuts = sorted(set(per_score.approxQuantile("p", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    ranged = add(per_score, {"_range": f"size(filter(from_json('{cuts}', 'array<double>'), c -> c > p))"})
-    group = ", ".join(f"`{c}`" for c in by)
-    totals = ranged.groupBy(*by, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    part = f"PARTITION BY {group} " if by else ""
-    above = f"OVER ({part}ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = totals.selectExpr(*by, "_range", f"coalesce(sum(_p) {above}, 0) AS _p0", f"coalesce(sum(_n) {above}, 0) AS _n0")
-    inside = f"OVER (PARTITION BY {group + ', ' if by else ''}_range ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    fine = add(ranged, {"_cp": f"sum(pos) {inside}", "_cn": f"sum(neg) {inside}"})
-    # at most `ranges` rows per group
-    return fine.join(offsets if by else F.broadcast(offsets), [*by, "_range"]).selectExpr(
-        *by, "p", "pos", "neg", "_cp + _p0 AS cum_pos", "_cn + _n0 AS cum_neg"
-    )
+    return running(per_score, "p DESC", {"cum_pos": "pos", "cum_neg": "neg"}, by, rows_per_range)
 
 
 def roc_auc(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

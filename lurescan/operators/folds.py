@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import add, quote
+from .ranked import running
 
 
 def _hash(text: str, seed: int) -> str:
@@ -20,22 +21,10 @@ def by_site(df: DataFrame, k: int = 5, seed: int = 42, site: str = "site") -> Da
 
 
 def hash_rank(df: DataFrame, name: str, key: str, seed, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds a random but repeatable rank 0..n-1 per group.
-
-    The rank is the total of the smaller hash ranges plus the place inside the row's own range of
-    about 1/4096 of the group, so no task orders a whole group. ``key`` must identify a row.
-    """
-    group = "".join(f"`{c}`, " for c in by)
+    """Adds a random but repeatable rank 0..n-1 per group: the place in the order of a hash of ``key``, which must identify a row."""
     hashed = add(df, {"_h": f"md5(concat({quote(f'{seed}|')}, CAST(`{key}` AS STRING)))"})
-    hashed = add(hashed, {"_range": "substr(_h, 1, 3)"})
-    totals = hashed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    part = f"PARTITION BY {group[:-2]} " if by else ""
-    before = f"OVER ({part}ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = totals.selectExpr(*by, "_range", f"coalesce(sum(_n) {before}, 0) AS _offset")
-    placed = add(hashed, {"_place": f"row_number() OVER (PARTITION BY {group}_range ORDER BY _h, `{key}`)"})
-    # 4,096 ranges per group: a bounded table for the few groups this is used with
-    ranked = placed.join(F.broadcast(offsets), [*by, "_range"])
-    return ranked.selectExpr(*[f"`{c}`" for c in df.columns], f"_offset + _place - 1 AS `{name}`")
+    ranked = running(hashed, f"_h, `{key}`", {name: "1"}, by)
+    return add(ranked, {name: f"`{name}` - 1"}).select(*df.columns, name)
 
 
 def stratified(df: DataFrame, k: int = 5, seed: int = 42, label: str = "y", key: str = "url") -> DataFrame:

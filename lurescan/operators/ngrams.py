@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import add, chars
+from ..functions.text import chars
+from ..plans.storage import stable
+from .ranked import largest
 
 MIN_N, MAX_N = 3, 5
 MIN_DF = 2
@@ -23,21 +25,40 @@ def grams(url: str = "url") -> str:
     return f"transform(array({chars(text)}), cs -> concat({runs}))[0]"
 
 
-def vocabulary(df: DataFrame, url: str = "url", min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:
-    """``(gram, df, cf, idf)`` of the most frequent grams that occur in ``min_df`` URLs or more.
+def with_grams(df: DataFrame, url: str = "url") -> DataFrame:
+    """Adds ``_grams`` and stores the table: counting, fitting and scoring then read the grams instead of making them."""
+    return stable(df.withColumn("_grams", F.expr(grams(url))), "grams")
+
+
+def counts(df: DataFrame, url: str = "url", k: int = 0) -> DataFrame:
+    """``(gram, df, cf)``: in how many URLs a gram occurs and how often, stored; with ``k``, also ``df_i, cf_i`` of each ``fold`` i.
 
     One exchange: every URL contributes its grams once for the corpus count and once, deduplicated in
     the row, for the document count; both are summed per task before the shuffle, so a gram that
     occurs in every URL costs one row per task.
     """
-    per_url = df.select(F.expr(grams(url)).alias("_g"))
+    made = F.col("_grams") if "_grams" in df.columns else F.expr(grams(url))
+    fold = ["fold"] if k else []
     both = "concat(transform(_g, g -> named_struct('gram', g, 'c', 1, 'd', 0)), transform(array_distinct(_g), g -> named_struct('gram', g, 'c', 0, 'd', 1)))"
-    counted = per_url.selectExpr(f"inline({both})").groupBy("gram").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
-    kept = counted.where(F.col("df") >= min_df).orderBy(F.desc("cf"), "gram").limit(max_terms)
-    docs = df.agg(F.count(F.lit(1)).alias("_docs")).withColumn("_one", F.lit(1))
-    return add(kept, {"_one": "1"}).join(F.broadcast(docs), "_one").selectExpr(
-        "gram", "df", "cf", "ln((1 + _docs) / (1 + df)) + 1 AS idf"
-    )
+    each = df.select(*fold, made.alias("_g")).selectExpr(*fold, f"inline({both})")
+    per_fold = [F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(0)).alias(f"{c}f_{i}") for i in range(k) for c in ("d", "c")]
+    return stable(each.groupBy("gram").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"), *per_fold), "gram-counts")
+
+
+def without_fold(counted: DataFrame, fold: int) -> DataFrame:
+    """``(gram, df, cf)`` of all folds but one: totals minus the fold, without another pass over URLs."""
+    return counted.selectExpr("gram", f"df - df_{fold} AS df", f"cf - cf_{fold} AS cf")
+
+
+def most_frequent(counted: DataFrame, docs: int, min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:
+    """``(gram, df, cf, idf)`` of the most frequent grams that occur in ``min_df`` URLs or more, of ``docs`` URLs."""
+    kept = largest(counted.where(F.col("df") >= min_df), "cf", "gram", max_terms)
+    return kept.selectExpr("gram", "df", "cf", f"ln((1 + {docs}) / (1 + df)) + 1 AS idf")
+
+
+def vocabulary(df: DataFrame, url: str = "url", min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:
+    """The grams of a table of URLs by which models read them."""
+    return most_frequent(counts(df, url), df.count(), min_df, max_terms)
 
 
 def tfidf(df: DataFrame, vocab: DataFrame, key: str = "url_id", url: str = "url") -> DataFrame:

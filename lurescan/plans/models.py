@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import time
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.text import add
+from ..functions.text import add, add_once
 from ..operators import evaluate, folds, ngrams, profile
 from ..operators.features import v1_features, with_features, with_similarity
 from ..operators.lookalike import find
@@ -35,7 +37,12 @@ PARTS = {"v1": ("v1",), "features": ("features",), "ngrams": ("ngrams",), "combi
 
 @dataclass(frozen=True)
 class Settings:
-    """Learner settings; the defaults follow the published models as far as the learners allow."""
+    """Learner settings; the defaults follow the published models as far as the learners allow.
+
+    Boosting on more than ``early_stop_over`` rows holds ``held_share`` of them back by a hash of the URL, and stops at
+    the round after which their loss grows. Learners make a pass per round or iteration, so a training table has
+    one task per ``rows_per_task`` rows: tasks of a few rows would be all overhead.
+    """
 
     trees: int = 100
     forest_depth: int = 20
@@ -46,6 +53,10 @@ class Settings:
     min_leaf: int = 20
     inverse_penalty: float = 4.0
     iterations: int = 2000
+    tolerance: float = 1e-4
+    early_stop_over: int = 10_000
+    held_share: float = 0.1
+    rows_per_task: int = 20_000
     max_terms: int = ngrams.MAX_TERMS
     seed: int = 42
 
@@ -88,47 +99,61 @@ def _assemble(df: DataFrame, names) -> DataFrame:
 
 
 def gram_vectors(df: DataFrame, terms: list[str], idf: list[float]) -> DataFrame:
-    """Adds ``features``: the unit-length TF-IDF vector of ``url``.
+    """Adds ``features``: the unit-length TF-IDF vector of ``url`` (of ``_grams``, where the table has them).
 
-    Counting is the JVM's; one Arrow batch function re-weights the counts of each vector.
+    One Arrow batch function looks up, counts and weighs all grams of a batch at once, without a step per row.
     """
-    counted = CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_tf").transform(
-        add(df, {"_grams": ngrams.grams("url")})
-    )
-    weight = np.asarray(idf)
+    made = df if "_grams" in df.columns else add_once(df, {"_grams": ngrams.grams("url")})
+    weight = np.asarray(idf, dtype=float)
 
-    # self-contained, so that workers need nothing but numpy and pandas
+    # self-contained, so that workers need nothing but numpy, pandas and Arrow
     @F.pandas_udf(VectorUDT())
-    def reweigh(kind: pd.Series, size: pd.Series, indices: pd.Series, values: pd.Series) -> pd.DataFrame:
-        out = []
-        for i, v in zip(indices, values, strict=True):
-            w = (1 + np.log(np.asarray(v, dtype=float))) * weight[np.asarray(i, dtype=int)]
-            out.append(w / max(np.sqrt((w * w).sum()), 1e-300))
-        return pd.DataFrame({"type": kind, "size": size, "indices": indices, "values": out})
+    def vectors(grams: pd.Series) -> pd.DataFrame:
+        n, size = len(grams), len(weight)
+        flat = np.concatenate([*grams, np.zeros(0, object)])
+        place = pc.index_in(pa.array(flat, pa.string()), value_set=pa.array(terms, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n), [len(g) for g in grams])
+        known = place >= 0
+        pair, tf = np.unique(row[known].astype("int64") * size + place[known], return_counts=True)
+        row, place = pair // max(size, 1), pair % max(size, 1)
+        w = (1 + np.log(tf)) * weight[place]
+        w /= np.sqrt(np.bincount(row, w * w, n))[row]
+        cuts = np.searchsorted(row, np.arange(1, n))
+        return pd.DataFrame({"type": np.zeros(n, "int8"), "size": np.full(n, size, "int32"), "indices": np.split(place.astype("int32"), cuts), "values": np.split(w, cuts)})
 
-    counts = counted.withColumn("_tf", F.unwrap_udt("_tf"))
-    return counts.withColumn("features", reweigh("_tf.type", "_tf.size", "_tf.indices", "_tf.values")).drop("_grams", "_tf")
+    return made.withColumn("features", vectors("_grams")).select(*[f"`{c}`" for c in df.columns], "features")
 
 
-def fit_part(part: str, train: DataFrame, s: Settings):
-    """Fits one learner on a prepared table with ``y``."""
+def _sized(df: DataFrame, rows: int, s: Settings) -> DataFrame:
+    """A training table with a task per ``rows_per_task`` rows, no fewer tasks than it has for longer ones."""
+    return df.coalesce(max(1, -(-rows // s.rows_per_task)))
+
+
+def fit_part(part: str, train: DataFrame, s: Settings, vocabulary: DataFrame | None = None):
+    """Fits one learner on a prepared table with ``y``; ``vocabulary`` if the caller has the grams already."""
     if part == "ngrams":
-        rows = ngrams.vocabulary(train, max_terms=s.max_terms).orderBy("gram").collect()  # at most max_terms rows
+        vocabulary = ngrams.vocabulary(train, max_terms=s.max_terms) if vocabulary is None else vocabulary
+        rows = sorted(vocabulary.select("gram", "idf").collect())  # at most max_terms rows
         terms, idf = [r["gram"] for r in rows], [r["idf"] for r in rows]
-        data = stable(gram_vectors(train.select("url", "y"), terms, idf).select("features", "y"), "grams")
-        penalty = 1.0 / (s.inverse_penalty * max(data.count(), 1))
-        learner = LogisticRegression(labelCol="y", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=s.iterations)
-        return GramModel(terms, idf, learner.fit(data))
+        grams = ["_grams"] if "_grams" in train.columns else []
+        data = stable(gram_vectors(train.select("url", "y", *grams), terms, idf).select("features", "y"), "gram-vectors")
+        n = data.count()
+        penalty = 1.0 / (s.inverse_penalty * max(n, 1))
+        learner = LogisticRegression(labelCol="y", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=s.iterations, tol=s.tolerance)
+        return GramModel(terms, idf, learner.fit(_sized(data, n, s)))
     names = dims.V1_FEATURES if part == "v1" else dims.FEATURES
-    data = _assemble(train.select("y", *names), names).select("features", "y")
+    n = train.count()
+    data = _sized(_assemble(add(train, {"_held": f"pmod(xxhash64(url, {s.seed}), 1000) < {int(1000 * s.held_share)}"}).select("y", "_held", *names), names).select("features", "y", "_held"), n, s)
     if part == "v1":
         learner = RandomForestClassifier(
-            labelCol="y", numTrees=s.trees, maxDepth=s.forest_depth, featureSubsetStrategy="sqrt", seed=s.seed, maxBins=s.bins
-        )
-    else:
-        learner = GBTClassifier(
-            labelCol="y", maxIter=s.rounds, stepSize=s.step, maxDepth=s.boost_depth, maxBins=s.bins, minInstancesPerNode=s.min_leaf, seed=s.seed
+            labelCol="y", numTrees=s.trees, maxDepth=s.forest_depth, featureSubsetStrategy="sqrt", seed=s.seed, maxBins=s.bins, maxMemoryInMB=1024
         )
+        return TreeModel(tuple(names), learner.fit(data))
+    learner = GBTClassifier(
+        labelCol="y", maxIter=s.rounds, stepSize=s.step, maxDepth=s.boost_depth, maxBins=s.bins, minInstancesPerNode=s.min_leaf, seed=s.seed, maxMemoryInMB=1024, validationTol=0.0
+    )
+    if n > s.early_stop_over:
+        learner.setValidationIndicatorCol("_held")
     return TreeModel(tuple(names), learner.fit(data))
 
 
@@ -190,25 +215,30 @@ def prepare(df: DataFrame) -> DataFrame:
     return stable(add(full.where("NOT parse_error"), {"site": site_key()}).select("url_id", "url", "y", "site", *names), "features")
 
 
-def build(kind: str, train: DataFrame, s: Settings | None = None) -> Detector:
+def build(kind: str, train: DataFrame, s: Settings | None = None, vocabulary: DataFrame | None = None) -> Detector:
     s = s or Settings()
-    return Detector(kind, {p: fit_part(p, train, s) for p in parts_of(kind)})
+    return Detector(kind, {p: fit_part(p, train, s, vocabulary) for p in parts_of(kind)})
 
 
 def cross_validate(table: DataFrame, kind: str, k: int = 5, grouped: bool = True, s: Settings | None = None, threads: int | None = None) -> tuple[DataFrame, float]:
     """Out-of-fold scores ``(url_id, url, y, fold, p)`` and the seconds they took (M9).
 
-    Everything fitted, vocabulary and weights included, is fitted inside the fold. The folds are
+    Everything fitted, vocabulary and weights included, is fitted without the fold. The folds are
     independent jobs, submitted together so that short stages overlap.
     """
     s = s or Settings()
-    parts_of(kind)
     start = time.time()
     folded = folds.by_site(table, k, s.seed) if grouped else folds.stratified(table, k, s.seed)
-    folded = stable(folded, "folds")
+    reads_grams = "ngrams" in parts_of(kind)
+    folded = ngrams.with_grams(folded) if reads_grams else stable(folded, "folds")
+    # grams are made once and counted once; a fold's vocabulary comes from the totals minus the fold
+    counted = ngrams.counts(folded, k=k) if reads_grams else None
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
 
     def one(i: int) -> DataFrame:
-        model = build(kind, folded.where(F.col("fold") != i), s)
+        train = folded.where(F.col("fold") != i)
+        vocabulary = ngrams.most_frequent(ngrams.without_fold(counted, i), sum(n for f, n in sizes.items() if f != i), max_terms=s.max_terms) if reads_grams else None
+        model = build(kind, train, s, vocabulary)
         held = folded.where(F.col("fold") == i)
         return stable(model.score(held).select("url_id", "url", "y", "fold", "p"), f"oof-{i}")
 
@@ -218,16 +248,31 @@ def cross_validate(table: DataFrame, kind: str, k: int = 5, grouped: bool = True
 
 
 def compare(table: DataFrame, kinds=("v1", "features", "ngrams", "combined"), random=("v1", "combined"), k: int = 5, s: Settings | None = None) -> DataFrame:
-    """Model by split comparison."""
+    """Model by split comparison (E8). A learner is cross-validated once per split, however many kinds it is part of."""
     rows = []
-    for kind, grouped in [(x, True) for x in kinds] + [(x, False) for x in random]:
-        oof, seconds = cross_validate(table, kind, k, grouped, s)
-        row = add(evaluate.metrics_at(oof), {"_one": "1"}).join(add(evaluate.roc_auc(oof), {"_one": "1"}), "_one")
-        rows.append(add(row, {"model": f"'{kind}'", "split": f"'{'by site' if grouped else 'random'}'", "seconds": f"{seconds}D"}))
+    for grouped, asked in ((True, kinds), (False, random)):
+        scored = {part: cross_validate(table, part, k, grouped, s) for part in dict.fromkeys(p for kind in asked for p in parts_of(kind))}
+        for kind in asked:
+            parts = parts_of(kind)
+            oof = mean_scores([scored[p][0] for p in parts])
+            row = add(evaluate.metrics_at(oof), {"_one": "1"}).join(add(evaluate.roc_auc(oof), {"_one": "1"}), "_one")
+            seconds = sum(scored[p][1] for p in parts)
+            rows.append(add(row, {"model": f"'{kind}'", "split": f"'{'by site' if grouped else 'random'}'", "seconds": f"{seconds}D"}))
     names = ["model", "split", "roc_auc", "accuracy", "precision", "recall", "f1", "false_positive_rate", "seconds"]
     return reduce(DataFrame.unionByName, rows).select(*names)
 
 
+def mean_scores(parts: list[DataFrame]) -> DataFrame:
+    """The mean of several out-of-fold score tables of the same rows and folds (M6), joined by row."""
+    if len(parts) == 1:
+        return parts[0]
+    first, *rest = parts
+    out = first.withColumnRenamed("p", "_p_0")
+    for i, part in enumerate(rest, 1):
+        out = out.join(part.select("url_id", F.col("p").alias(f"_p_{i}")), "url_id")
+    return add(out, {"p": combine([f"_p_{i}" for i in range(len(parts))])}).select(*first.columns)
+
+
 def train(table: DataFrame, kind: str = "combined", k: int = 5, target_fpr: float = 0.02, s: Settings | None = None) -> Detector:
     """Cross-validate by site, choose the threshold, refit on everything, describe."""
     s = s or Settings()
@@ -245,6 +290,7 @@ def train(table: DataFrame, kind: str = "combined", k: int = 5, target_fpr: floa
         "data": profile.dataset_counts(table).first().asDict(),
         "cv_by_site": at,
         "cv_seconds": seconds,
+        "rounds": {name: part.model.getNumTrees for name, part in detector.parts.items() if isinstance(part, TreeModel)},
     }
     return detector
 
@@ -266,9 +312,3 @@ def out_of_time(detectors: dict[str, Detector], sources: DataFrame, thresholds=(
         return evaluate.share_at(d.score_urls(sources), sorted({*thresholds, d.threshold})).withColumn("model", F.lit(name))
 
     return reduce(DataFrame.unionByName, [scored(n, d) for n, d in detectors.items()])
-
-
-def quick(**changes) -> Settings:
-    """Few boosting rounds, larger steps; forests and n-gram models as published."""
-    base = Settings(rounds=10, step=0.2, boost_depth=4, bins=64)
-    return replace(base, **changes)
