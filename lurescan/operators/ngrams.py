@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import chars
 from ..plans.storage import stable
 from .ranked import largest
+from .skew import spread_join
 
 MIN_N, MAX_N = 3, 5
 MIN_DF = 2
@@ -72,3 +73,20 @@ def tfidf(df: DataFrame, vocab: DataFrame, key: str = "url_id", url: str = "url"
     counted = spread.selectExpr(f"`{key}`", f"explode({grams(url)}) AS gram").groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
     weighted = counted.join(F.broadcast(vocab.select("gram", "idf")), "gram").selectExpr(f"`{key}`", "gram", "(1 + ln(tf)) * idf AS _w")
     return weighted.selectExpr(f"`{key}`", "gram", f"_w / sqrt(sum(_w * _w) OVER (PARTITION BY `{key}`)) AS weight")
+
+
+def score(df: DataFrame, weights: DataFrame, intercept: float, key: str = "url_id", url: str = "url") -> DataFrame:
+    """``(key, p)``: logistic scores over unit-length TF-IDF grams, as a join and a sum per URL (M5).
+
+    ``weights``: ``(gram, idf, coef)``, a table of any length; neither it nor a vector is held anywhere. The grams
+    with the least idf, which nearly every URL has, are joined by broadcast. A URL without known grams has the
+    score of the intercept. ``key`` must identify a row.
+    """
+    spread = df.select(key, url).repartition(key)
+    counted = spread.selectExpr(f"`{key}`", f"explode({grams(url)}) AS gram").groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_tf"))
+    heavy = weights.selectExpr("gram", "idf", "coef", "-idf AS _heavy")
+    met = spread_join(counted, heavy, "gram", "_heavy", ["idf", "coef"], how="inner")
+    parts = met.selectExpr(f"`{key}`", "(1 + ln(_tf)) * idf AS _w", "coef").selectExpr(f"`{key}`", "_w * coef AS _dot", "_w * _w AS _square")
+    every = parts.unionByName(df.selectExpr(f"`{key}`", "0D AS _dot", "0D AS _square"))
+    sums = every.groupBy(key).agg(F.sum("_dot").alias("_dot"), F.sum("_square").alias("_square"))
+    return sums.selectExpr(f"`{key}`", f"1 / (1 + exp(-(coalesce(try_divide(_dot, sqrt(_square)), 0D) + {float(intercept)!r}D))) AS p")

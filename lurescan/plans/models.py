@@ -88,6 +88,10 @@ class GramModel:
     idf: list[float]
     model: object
 
+    def weights(self, spark: SparkSession) -> DataFrame:
+        """``(gram, idf, coef)``, with which ``ngrams.score`` scores without vectors."""
+        return spark.createDataFrame(pd.DataFrame({"gram": self.terms, "idf": self.idf, "coef": self.model.coefficients.toArray()}), "gram string, idf double, coef double")
+
     def score(self, df: DataFrame, out: str) -> DataFrame:
         cols = df.columns
         scored = self.model.transform(gram_vectors(df, self.terms, self.idf))

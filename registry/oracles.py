@@ -227,6 +227,8 @@ tot AS (SELECT count(*) FILTER (WHERE y = 1) AS P, count(*) FILTER (WHERE y = 0)
 _METRICS = """SELECT count(*) FILTER (WHERE p >= {t} AND y = 1) AS tp, count(*) FILTER (WHERE p >= {t} AND y = 0) AS fp,
   count(*) FILTER (WHERE p < {t} AND y = 1) AS fn, count(*) FILTER (WHERE p < {t} AND y = 0) AS tn FROM sc"""
 
+# one row per distinct URL that can be read, with the label of its first row
+PREPARED = f"{LABELLED}, once AS (SELECT url, arg_min(y, url_id) AS y, arg_min(site, url_id) AS site FROM l SEMI JOIN (SELECT url_id FROM p WHERE NOT parse_error) r ON r.url_id = l.url_id GROUP BY url)"
 _HASH = "CAST('0x' || substr(md5('42|' || site), 1, 8) AS BIGINT)"
 
 _SIGNAL_CASES = {
@@ -391,9 +393,24 @@ ORACLES = {
     "ngram_vocab": f"{CORPUS}, {_GRAMS} SELECT gram, df, cf, round(idf, 6) AS idf FROM vocab",
     "ngram_tfidf": f"""{CORPUS}, {_GRAMS}, w AS (SELECT tf.url_id, (1 + ln(tf.tf)) * vocab.idf AS w FROM tf JOIN vocab ON tf.gram = vocab.gram), nrm AS (SELECT url_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1)
       SELECT w.url_id, count(*) AS terms, round(max(w / norm), 5) AS largest, round(sum(w / norm), 4) AS total FROM w JOIN nrm ON w.url_id = nrm.url_id GROUP BY 1""",
+    "score_relation": f"""{CORPUS}, {_GRAMS}, w AS (SELECT tf.url_id, (1 + ln(tf.tf)) * idf AS w, (CAST('0x' || substr(md5(vocab.gram), 1, 6) AS BIGINT) / 16777216::DOUBLE - 0.5) * 8 AS coef FROM tf JOIN vocab ON tf.gram = vocab.gram),
+      s AS (SELECT url_id, sum(w * coef) / sqrt(sum(w * w)) AS s FROM w GROUP BY 1) SELECT u.url_id, round(1 / (1 + exp(-(coalesce(s, 0) - 0.125))), 6) AS p FROM url_corpus u LEFT JOIN s ON s.url_id = u.url_id""",
+    "fold_vocab": f"""{LABELLED}, f AS (SELECT url_id, url, CAST({_HASH} % 5 AS INT) AS fold FROM l),
+      g AS (SELECT fold, url_id, unnest(list_concat(list_concat([substr(lower(url), i, 3) for i in range(1, length(url) - 1)], [substr(lower(url), i, 4) for i in range(1, length(url) - 2)]),
+        [substr(lower(url), i, 5) for i in range(1, length(url) - 3)])) AS gram FROM f),
+      t AS (SELECT fold, url_id, gram, count(*) AS tf FROM g GROUP BY ALL), k AS (SELECT unnest(range(0, 5))::INT AS out),
+      v AS (SELECT out, gram, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM t JOIN k ON fold <> out GROUP BY 1, 2 HAVING count(*) >= 2)
+      SELECT out AS fold, gram, df, cf, round(ln((1 + (SELECT count(*) FROM f WHERE fold <> out)) / (1 + df)) + 1, 6) AS idf FROM v
+      QUALIFY row_number() OVER (PARTITION BY out ORDER BY cf DESC, gram) <= 2000""",
     "combined_score": f"{CORPUS}, {SCORES} SELECT url_id, round((p + floor(p * 100) / 100) / 2, 6) AS p FROM sc",
     "stream_check": _stream("SELECT url_id, CASE WHEN sev = 3 THEN 'phishing' ELSE 'legitimate' END AS verdict, registered AS site, findings FROM per_url"),
     "stream_distinct": "SELECT DISTINCT 'https://site' || (user_id % 50) || '.example.org/' AS url FROM events",
+    "stream_windows": f"""{duckdb_with('clicks')}, numbered AS MATERIALIZED (SELECT row_number() OVER () AS url_id, url FROM (SELECT DISTINCT url FROM clicks)), {parts('numbered')}, {MATCH},
+      d AS (SELECT date_trunc('day', c.ts) AS day, CASE WHEN u.sev = 3 THEN 'phishing' ELSE 'legitimate' END AS verdict FROM clicks c JOIN per_url u ON u.url = c.url)
+      SELECT strftime(day, '%Y-%m-%d') AS day, verdict, count(*) AS urls FROM d WHERE day + INTERVAL 2 DAY <= (SELECT max(ts) FROM clicks) GROUP BY ALL""",
+    "stream_with_model": "SELECT page_id AS url_id, true AS same FROM pages",
+    "oof_facts": f"""{PREPARED} SELECT CAST({_HASH} % 5 AS INT) AS fold, count(*) AS urls, CAST(sum(y) AS BIGINT) AS phishing, count(*) AS in_range FROM once GROUP BY 1""",
+    "train_facts": f"""{PREPARED} SELECT 'ngrams' AS model, CAST(sum(y) AS BIGINT) AS phishing, count(DISTINCT site) AS sites, count(*) AS urls, true AS target_met, true AS same_scores, true AS in_range FROM once""",
     "stream_requests": f"""{ON_CORPUS}, {MATCH}, {_REQUESTS} SELECT verdict, count(*) AS n FROM (
       SELECT CASE WHEN u.sev = 3 THEN 'phishing' ELSE 'legitimate' END AS verdict FROM rq JOIN per_url u ON u.url_id = rq.request_id WHERE form IN (0, 1, 4)
       UNION ALL SELECT 'legitimate' FROM rq WHERE form = 0 UNION ALL SELECT 'rejected' FROM rq WHERE form IN (2, 3, 5, 6)) GROUP BY 1""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -705,6 +707,23 @@ def ngram_tfidf(spark, sf):
     )
 
 
+@query
+def fold_vocab(spark, sf):
+    """M4, M9: the 2,000 grams by which each fold's model reads, from counts made once for all folds."""
+    folded = ngrams.with_grams(folds.by_site(labelled(spark, sf)))
+    counted, sizes = ngrams.counts(folded, k=5), {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    each = [ngrams.most_frequent(ngrams.without_fold(counted, i), sum(n for f, n in sizes.items() if f != i), max_terms=2_000).withColumn("fold", F.lit(i)) for i in range(5)]
+    return reduce(DataFrame.unionByName, each).selectExpr("fold", "gram", "df", "cf", "round(idf, 6) AS idf")
+
+
+@query
+def score_relation(spark, sf):
+    """M5: scores of the n-gram model as a join of grams and weights, summed per URL."""
+    c = corpus(spark, sf)
+    weights = add(ngrams.vocabulary(c), {"coef": "(CAST(conv(substr(md5(gram), 1, 6), 16, 10) AS DOUBLE) / 16777216D - 0.5D) * 8D"})
+    return ngrams.score(c, weights, -0.125).selectExpr("url_id", "round(p, 6) AS p")
+
+
 @query
 def combined_score(spark, sf):
     """Mean of two scores joined on the row id."""
@@ -754,6 +773,28 @@ def oof_scores(spark, sf):
     return oof.selectExpr("url_id", "y", "fold", "round(p, 6) AS p")
 
 
+@query
+def oof_facts(spark, sf):
+    """M9: what any cross-validation by site must give: each row scored once, in its site's fold, between 0 and 1."""
+    oof, _ = models.cross_validate(_table(spark, sf), "ngrams", 5, True, models.Settings())
+    in_range = "count_if(p > 0 AND p < 1)"
+    return oof.groupBy("fold").agg(F.count_distinct("url_id").alias("urls"), F.sum("y").cast("bigint").alias("phishing"), F.expr(in_range).alias("in_range"))
+
+
+@query
+def train_facts(spark, sf):
+    """A trained, saved and loaded model: its data, and whether its threshold and scores hold."""
+    table = _table(spark, sf)
+    trained = models.train(table, "ngrams", s=models.Settings())
+    folder = scratch_path(spark, "model")
+    loaded = persist.load(spark, persist.save(spark, trained, folder))
+    a, b = (d.score(table).select("url_id", F.col("p").alias(n)) for d, n in ((trained, "a"), (loaded, "b")))
+    same = a.join(b, "url_id").agg(F.expr("bool_and(a = b)").alias("same_scores"), F.expr(f"bool_and(a BETWEEN 0 AND 1) AND {loaded.threshold} BETWEEN 0.5 AND 1").alias("in_range"))
+    at = loaded.meta["cv_by_site"]["at_threshold"]["false_positive_rate"] <= loaded.meta["target_fpr"]
+    facts = {k: int(v) for k, v in loaded.meta["data"].items()}
+    return same.select(F.lit(loaded.kind).alias("model"), *[F.lit(v).cast("bigint").alias(k) for k, v in sorted(facts.items())], F.lit(at).alias("target_met"), "same_scores", "in_range")
+
+
 @query
 def model_comparison(spark, sf):
     """E8."""
@@ -822,6 +863,34 @@ def stream_distinct(spark, sf):
     return spark.read.schema("url string").parquet(out)
 
 
+@query
+def stream_windows(spark, sf):
+    """ST1, ST2: verdicts of the click log per day of event time, in several micro-batches; days close behind a watermark."""
+    log = scratch_path(spark, "clicks")
+    clicks = load(spark, sf, "clicks").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "url")
+    edges = [r[0] for r in clicks.selectExpr("explode(percentile_approx(unix_micros(ts), array(0.25D, 0.5D, 0.75D))) AS e").orderBy("e").collect()]
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = clicks.where(f"unix_micros(ts) >= {low}") if low is not None else clicks
+        (part.where(f"unix_micros(ts) < {high}") if high is not None else part).coalesce(1).write.mode("append").parquet(log)
+    stream = spark.readStream.schema("ts timestamp, url string").option("maxFilesPerTrigger", 1).parquet(log)
+    out, state = scratch_path(spark, "windows"), scratch_path(spark, "windows-state")
+    streaming.start_counts(streaming.verdict_counts(stream), out, state).awaitTermination()
+    back = spark.read.schema("start timestamp, end timestamp, verdict string, urls bigint").parquet(out)
+    return back.selectExpr("date_format(start, 'yyyy-MM-dd') AS day", "verdict", "urls")
+
+
+@query
+def stream_with_model(spark, sf):
+    """ST1, C3: a fitted model scores a stream as it scores the stored table."""
+    detector = models.build("v1", _table(spark, sf), models.Settings(trees=20, forest_depth=8))
+    out, state = scratch_path(spark, "scored"), scratch_path(spark, "scored-state")
+    streaming.start_scoring(_page_stream(spark, sf), out, state, detector, 0.6, keep=("url_id",)).awaitTermination()
+    stored = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id AS url_id", "concat(url, IF(page_id % 5 = 0, '&login=paypal', '')) AS url")
+    batch = checking.check(stored, detector, 0.6, keep=("url_id",)).selectExpr("url_id", "probability AS b", "verdict AS bv")
+    both = spark.read.parquet(out).join(batch, "url_id", "full")
+    return both.selectExpr("url_id", "coalesce(probability = b AND verdict = bv AND probability BETWEEN 0 AND 1, false) AS same")
+
+
 @query
 def stream_requests(spark, sf):
     """ST1, ST3: JSON requests as a stream; accepted URLs are checked, others counted as rejected."""

@@ -2,7 +2,7 @@ import pathlib
 
 import pytest
 
-from lurescan.operators import evaluate
+from lurescan.operators import evaluate, ngrams
 from lurescan.plans import check, models, persist
 from lurescan.plans.storage import scratch_path
 from registry.corpus import load
@@ -83,3 +83,12 @@ def test_comparison_shares_its_parts(spark, monkeypatch):
 def test_metrics(spark):
     row = evaluate.metrics_at(spark.createDataFrame([(1, 0.9), (1, 0.1), (0, 0.8), (0, 0.2)], "y int, p double")).first()
     assert (row["tp"], row["fp"], row["fn"], row["tn"], row["f1"]) == (1, 1, 1, 1, 0.5)
+
+
+def test_relational_scores_equal_the_vector_model(spark, detector, urls):
+    """No vector, no vocabulary on the driver or in a broadcast, and the same scores."""
+    part = detector.parts["ngrams"]
+    df = load(spark, SF, "url_corpus").select("url_id", "url").unionByName(urls(["", "~", "HTTP://A  B"]).selectExpr("1000000 + url_id AS url_id", "url"))
+    relation = {r["url_id"]: r["p"] for r in ngrams.score(df, part.weights(spark), part.model.intercept).collect()}
+    vector = {r["url_id"]: r["p"] for r in part.score(df, "p").collect()}
+    assert relation.keys() == vector.keys() and max(abs(p - vector[i]) for i, p in relation.items()) < 1e-9
