@@ -145,3 +145,14 @@ def finding_examples(df: DataFrame, k: int = 15, high_only: bool = False) -> Dat
     return flagged.orderBy("url_id").limit(k).selectExpr(
         "url_id", "url", "lookalike[0].brand AS brand", "lookalike[0].technique AS technique", "lookalike[0].severity AS severity"
     )
+
+
+def sketches(df: DataFrame, by: tuple[str, ...], column: str, lg: int = 14) -> DataFrame:
+    """``(*by, rows, sketch)``: what to store per day or source so that distinct values can be counted over any of them
+    later (A1). A sketch has ``2 ** lg`` registers at most, whatever it counted; null values are left out."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg(F.col(column).cast("string"), lg).alias("sketch"))
+
+
+def merged(stored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, rows, about)``: rows and estimated distinct values of merged sketches; the values themselves are not read."""
+    return stored.groupBy(*by).agg(F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"))

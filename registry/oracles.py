@@ -335,6 +335,9 @@ ORACLES = {
       count(*) FILTER (WHERE {_verdict(0.99)} = 'phishing') AS phishing, count(*) FILTER (WHERE {_verdict(0.99)} = 'invalid') AS invalid FROM sr GROUP BY 1""",
     "verdicts_by_site": f"""{ON_CORPUS}, {MATCH} SELECT registered AS site, CASE WHEN sev = 3 THEN 'phishing' ELSE 'legitimate' END AS verdict, count(*) AS urls FROM per_url GROUP BY 1, 2""",
     "dataset_counts": f"{LABELLED} SELECT count(*) AS urls, CAST(sum(y) AS BIGINT) AS phishing, count(DISTINCT site) AS sites FROM l",
+    "sketched_counts": f"""{duckdb_with('clicks')}, numbered AS MATERIALIZED (SELECT row_number() OVER () AS url_id, url FROM (SELECT DISTINCT url FROM clicks)), {parts('numbered')},
+      d AS (SELECT c.user_id, {SITE.replace('url END', 'p.url END')} AS site FROM clicks c JOIN p ON p.url = c.url)
+      SELECT 'site' AS counted, count(*) AS rows, count(DISTINCT site) AS exact, true AS within FROM d UNION ALL SELECT 'user_id', count(*), count(DISTINCT user_id), true FROM d""",
     "class_balance": f"{RAW} SELECT status, count(*) AS n FROM url_raw GROUP BY 1",
     "class_profile": f"""{CORPUS} SELECT status, round(median(length(url)), 3) AS median_length,
       round(avg(CASE WHEN starts_with(url, 'https') THEN 1 ELSE 0 END), 3) AS https_share FROM url_corpus GROUP BY 1""",

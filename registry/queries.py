@@ -499,6 +499,20 @@ def length_histogram(spark, sf):
     return profile.length_histogram(corpus(spark, sf))
 
 
+@query
+def sketched_counts(spark, sf):
+    """A1 at scale: distinct sites and users of the click log from stored daily sketches, beside the exact counts."""
+    clicks = with_parts(load(spark, sf, "clicks")).selectExpr("CAST(ts AS DATE) AS day", "user_id", f"{site_key()} AS site")
+    out = []
+    for column in ("site", "user_id"):
+        stored = scratch_path(spark, "sketches")
+        profile.sketches(clicks, ("day",), column).write.parquet(stored)
+        estimate = profile.merged(spark.read.parquet(stored)).withColumn("_one", F.lit(1))
+        exact = clicks.agg(F.count_distinct(column).alias("exact")).withColumn("_one", F.lit(1))
+        out.append(estimate.join(exact, "_one").selectExpr(f"'{column}' AS counted", "rows", "exact", "abs(about - exact) <= 0.03 * exact AS within"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query
 def site_sizes(spark, sf):
     """A2."""
