@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on small rows with nulls, repeats, ties and odd texts."""
+"""The first ten operators against brute force, on small rows with nulls, repeats, ties and odd texts."""
 
 import collections
 import hashlib
@@ -182,7 +182,7 @@ def test_search_equals_scoring_everything(docs, rows, empty):
     for q, c in lists:
         if q is None or q % 20 or not c:
             continue
-        terms = sorted((w for w in c if w in idf), key=lambda w: (-round(c[w] * idf[w], 6), w))[:8]
+        terms = [w for w in c if w in idf]
         scored = []
         for i, d in lists:
             s = sum(idf[w] * d[w] * 2.2 / (d[w] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)) for w in terms if d[w])
@@ -344,4 +344,4 @@ def test_site_means_shrink(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
