@@ -38,9 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import stable
-from .blocks import BLOCK_BYTES, bucket_edges, from_body, pack, planes, sorted_planes, tables, text_bytes, unplanes, unsorted_planes
+from .blocks import bucket_edges, from_body, pack, planes, sorted_planes, tables, text_bytes, unplanes, unsorted_planes
 from .words import mix
 
+#: a block's names take about 24 times its text while they are made, and a worker keeps that memory
+BLOCK_BYTES = 6 << 20
 KGRAM = 32
 LEVELS = (1 << 30, 8, 1)  # windows in a piece, at most
 UNIQUE, OPEN, COPY = 0, 1, 2
@@ -74,7 +76,7 @@ def _chunk_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _names(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(32-byte names, 64-byte names, place of the leftmost smallest 32-byte name among ``span`` from each on)."""
     n = len(data)
-    short, long, least = np.empty(n, "uint64"), np.empty(n, "uint64"), np.empty(n, "int64")
+    short, long, least = np.empty(n, "uint64"), np.empty(n, "uint64"), np.empty(n, "int32" if n < 2**31 else "int64")
     for at in range(0, n, CHUNK):
         h32, h64 = _chunk_names(data[at : at + CHUNK + span + 64])
         width = min(CHUNK, n - at)
@@ -124,16 +126,15 @@ class Block:
         valid = np.zeros(n, bool)
         for a, b in zip(self.starts[:-1].tolist(), ends.tolist(), strict=True):
             valid[a : max(a, b - length + 1)] = True
-        self.windows = np.flatnonzero(valid)
-        if not len(self.windows):
+        if not valid.any():
             self.run_from = self.run_to = self.anchor = np.zeros(0, "int64")
             return
         self.h32, self.h64, least = _names(self.data, span)
-        anchor = least[self.windows]
-        change = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (self.windows[1:] != self.windows[:-1] + 1)])
-        self.run_from = self.windows[change]
-        self.run_to = self.windows[np.r_[change[1:] - 1, len(anchor) - 1]]
-        self.anchor = anchor[change]
+        moved = np.r_[True, least[1:] != least[:-1]]
+        # a run begins and ends where the minimiser's place or the document changes; flags, not positions, keep a block small
+        self.run_from = np.flatnonzero(valid & (moved | ~np.r_[False, valid[:-1]]))
+        self.run_to = np.flatnonzero(valid & np.r_[moved[1:] | ~valid[1:], True])
+        self.anchor = least[self.run_from].astype("int64")
 
     def text_name(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Name of the bytes from begin to end; 65 to 192 of them, which three overlapping names of 64 cover."""
@@ -236,13 +237,13 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", len
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in tables(batches):
             made = Block(table, id_column, text, length)
-            if len(made.windows):
+            if len(made.run_from):
                 yield rows_of(block, made, 0, (made.run_from, made.run_to, made.anchor))
 
     def refine(level: int):
         def run(block: pa.Table, got: pa.Table) -> pa.Table:
             made = Block(from_body(block.column("body")[0].as_buffer()), id_column, text, length)
-            if not len(made.windows):
+            if not len(made.run_from):
                 return schema.empty_table()
             _, open_runs = made.descend([_answers(got, k) for k in range(level)])
             return pa.Table.from_batches([rows_of(block.column("block")[0].as_py(), made, level, open_runs)])
@@ -252,7 +253,7 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", len
     def finish(block: pa.Table, got: pa.Table) -> pa.Table:
         made = Block(from_body(block.column("body")[0].as_buffer()), id_column, text, length)
         cover = np.zeros(len(made.data) + 1, "int32")
-        if len(made.windows):
+        if len(made.run_from):
             ranges, _ = made.descend([_answers(got, k) for k in range(len(LEVELS))])
             for begins, ends in ranges:
                 np.add.at(cover, begins, 1)
