@@ -121,6 +121,12 @@ def report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT).json(path, multiLine=True)
 
 
+def report_section(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """The rows of any section of a report; a report without it has none."""
+    doc = spark.read.schema(f"`{name}` array<struct<{schema}>>").json(path, multiLine=True)
+    return doc.selectExpr(f"inline(`{name}`)")
+
+
 def report_shares(doc: DataFrame) -> DataFrame:
     """Model by measure table of a report."""
     rows = doc.selectExpr("inline(out_of_time)")

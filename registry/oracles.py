@@ -435,3 +435,8 @@ ORACLES = {
     "parts_packed": f"{ON_CORPUS} SELECT url_id, host, registered, is_ip FROM p",
 }
 ORACLES["threshold_sweep"] = ORACLES["report_roundtrip"]
+# a report's sections are those of the queries that make them
+ORACLES["report_sections"] = f"""SELECT 'cross_validation' AS section, 'by site' AS name, at_half AS value FROM ({ORACLES["compare_thresholds"]}) WHERE metric = 'recall'
+  UNION ALL SELECT 'at_threshold', metric, at_threshold FROM ({ORACLES["compare_thresholds"]})
+  UNION ALL SELECT 'lookalikes', status, any_share FROM ({ORACLES["flag_shares"]})
+  UNION ALL SELECT 'top_mistakes', url_id::VARCHAR, y::DOUBLE FROM ({ORACLES["top_mistakes"]})"""

@@ -168,6 +168,25 @@ def report_roundtrip(spark, sf):
     return readers.report_sweep(readers.report(spark, path))
 
 
+@query
+def report_sections(spark, sf):
+    """The report's further sections, written, read back and put under one another."""
+    s = scores(spark, sf)
+    facts = readers.snapshot(s.where("y = 1"), s.where("y = 0"), "list-1", "2026-01-01")
+    shares = evaluate.share_at(add(s, {"source": "status"}), [0.5]).selectExpr("'v1' AS model", "source AS measure", "share")
+    cv = evaluate.metrics_at(s).selectExpr("'by site' AS split", "accuracy", "recall")
+    sections = {"cross_validation": cv, "at_threshold": evaluate.compare_thresholds(s, 0.7478), "lookalikes": profile.flag_shares(found(spark, sf), ("status",)), "top_mistakes": evaluate.top_mistakes(s)}
+    path = scratch_path(spark, "report")
+    sinks.report_json(facts, shares, evaluate.sweep(s, SWEEP), path, sections)
+    back = [
+        readers.report_section(spark, path, "cross_validation", "split: string, recall: double").selectExpr("'cross_validation' AS section", "split AS name", "round(recall, 3) AS value"),
+        readers.report_section(spark, path, "at_threshold", "metric: string, at_threshold: double").selectExpr("'at_threshold'", "metric", "round(at_threshold, 3)"),
+        readers.report_section(spark, path, "lookalikes", "status: string, any_share: double").selectExpr("'lookalikes'", "status", "any_share"),
+        readers.report_section(spark, path, "top_mistakes", "url_id: bigint, y: int").selectExpr("'top_mistakes'", "CAST(url_id AS STRING)", "CAST(y AS DOUBLE)"),
+    ]
+    return reduce(DataFrame.union, back)
+
+
 @query
 def report_shares(spark, sf):
     """Source by model table of a report."""
@@ -833,9 +852,10 @@ def check_with_model(spark, sf):
 
 @query
 def out_of_time(spark, sf):
-    """Two models on the click log and the page list."""
+    """Three models on the click log and the page list; the n-gram model is a part of the combined one."""
     table = _table(spark, sf)
-    detectors = {"v1": models.build("v1", table, models.Settings()), "ngrams": models.build("ngrams", table, models.Settings())}
+    detectors = {kind: models.build(kind, table, models.Settings()) for kind in ("v1", "combined")}
+    detectors["ngrams"] = models.Detector("ngrams", {"ngrams": detectors["combined"].parts["ngrams"]})
     clicks = load(spark, sf, "clicks").selectExpr("'clicks' AS source", "url")
     pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("'pages' AS source", "url")
     return models.out_of_time(detectors, clicks.unionByName(pages))
