@@ -38,3 +38,23 @@ def test_repeats_pass_again_once_their_state_expired(spark):
     query.awaitTermination()
     assert spark.read.parquet(out).count() == 2
     assert sum(b["dropped"] for b in score.state_of(query)) >= 1
+
+
+def test_click_log_arrives_as_many_files_in_four_batches(spark, monkeypatch, tmp_path):
+    from registry import corpus, queries
+
+    monkeypatch.setattr(queries, "LOG_FILE_ROWS", 50)
+    monkeypatch.setattr(score, "check", lambda df, *_, keep: df.selectExpr(*keep, "'legitimate' AS verdict"))
+    monkeypatch.setattr(queries, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    rows = [(i, f"2024-01-{1 + i // 40:02d} 10:00:00", 1) for i in range(400)]
+    spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, f"http://site{i}.example.org/a") for i in range(3)], "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {}
+    for r in queries.stream_windows(spark, str(tmp_path)).collect():
+        got[r["day"]] = got.get(r["day"], 0) + r["urls"]
+    per_day = corpus.load(spark, str(tmp_path), "clicks").selectExpr("date_format(ts, 'yyyy-MM-dd') AS day").groupBy("day").count()
+    want = {r["day"]: r["count"] for r in per_day.collect()}
+    assert got == {d: n for d, n in want.items() if d <= "2024-01-08"}  # two days before the latest click
+    # one file a part left one task with all the work of a micro-batch
+    assert len(list((tmp_path / "clicks").glob("*.parquet"))) >= 8
+    assert len([f for f in (tmp_path / "windows-state" / "offsets").iterdir() if f.name.isdigit()]) >= 4
