@@ -13,6 +13,8 @@ from .skew import spread_join
 MIN_N, MAX_N = 3, 5
 MIN_DF = 2
 MAX_TERMS = 200_000
+#: URLs of a task that counts their grams, of which a URL has some 250
+URLS_PER_TASK = 5_000
 
 
 def grams(url: str = "url") -> str:
@@ -62,6 +64,12 @@ def vocabulary(df: DataFrame, url: str = "url", min_df: int = MIN_DF, max_terms:
     return most_frequent(counts(df, url), df.count(), min_df, max_terms)
 
 
+def _spread(df: DataFrame, key: str, url: str) -> DataFrame:
+    """The rows by key, in as many tasks as their number asks for: by the bytes of URLs, which is what adaptive
+    execution goes by, a task would hold the grams of a million."""
+    return df.select(key, url).repartition(max(1, -(-df.count() // URLS_PER_TASK)), key)
+
+
 def tfidf(df: DataFrame, vocab: DataFrame, key: str = "url_id", url: str = "url") -> DataFrame:
     """``(key, gram, weight)``: sublinear counts times idf, scaled to unit length per URL.
 
@@ -69,7 +77,7 @@ def tfidf(df: DataFrame, vocab: DataFrame, key: str = "url_id", url: str = "url"
     further exchange of the roughly 250 grams per URL. The vocabulary is broadcast: at most
     ``MAX_TERMS`` rows by construction.
     """
-    spread = df.select(key, url).repartition(key)
+    spread = _spread(df, key, url)
     counted = spread.selectExpr(f"`{key}`", f"explode({grams(url)}) AS gram").groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
     weighted = counted.join(F.broadcast(vocab.select("gram", "idf")), "gram").selectExpr(f"`{key}`", "gram", "(1 + ln(tf)) * idf AS _w")
     return weighted.selectExpr(f"`{key}`", "gram", f"_w / sqrt(sum(_w * _w) OVER (PARTITION BY `{key}`)) AS weight")
@@ -82,7 +90,7 @@ def score(df: DataFrame, weights: DataFrame, intercept: float, key: str = "url_i
     with the least idf, which nearly every URL has, are joined by broadcast. A URL without known grams has the
     score of the intercept. ``key`` must identify a row.
     """
-    spread = df.select(key, url).repartition(key)
+    spread = _spread(df, key, url)
     counted = spread.selectExpr(f"`{key}`", f"explode({grams(url)}) AS gram").groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_tf"))
     heavy = weights.selectExpr("gram", "idf", "coef", "-idf AS _heavy")
     met = spread_join(counted, heavy, "gram", "_heavy", ["idf", "coef"], how="inner")
