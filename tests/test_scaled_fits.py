@@ -24,3 +24,24 @@ def test_grams_are_counted_in_tasks_of_bounded_length(pages, monkeypatch):
     assert cut.rdd.getNumPartitions() == 12  # one before: their URLs are few bytes
     for a, b in zip(whole, cut.orderBy(key).collect(), strict=True):
         assert (a["url_id"], a["gram"]) == (b["url_id"], b["gram"]) and a["weight"] == pytest.approx(b["weight"])
+
+
+def test_vectors_are_not_written_and_equal_the_plain_ones(spark, pages, monkeypatch):
+    vocabulary = ngrams.vocabulary(pages)
+    monkeypatch.setattr(models, "stable", None)  # whoever stored a table here would fail
+    part = models.fit_part("ngrams", models.profile.with_label(pages), models.Settings(iterations=3), vocabulary)
+    idf = dict(zip(part.terms, part.idf, strict=True))
+    urls = spark.createDataFrame([("http://site1.example.org/login/1",), ("zz",), ("",)], "url string")
+    for r in models.gram_vectors(urls, part.terms, part.idf).collect():
+        text, found = r["url"], {}
+        for n in (3, 4, 5):
+            for i in range(len(text) - n + 1):
+                found[text[i : i + n]] = found.get(text[i : i + n], 0) + 1
+        w = np.array([(1 + np.log(found[g])) * idf[g] if g in found else 0 for g in part.terms])
+        assert np.allclose(r["features"].toArray(), w / max(np.sqrt((w * w).sum()), 1e-9))
+
+
+def test_fits_take_no_more_tasks_than_cores(spark):
+    s, many, cores = models.Settings(), spark.range(1).repartition(64), spark.sparkContext.defaultParallelism
+    tasks = [models._sized(many, n, s).rdd.getNumPartitions() for n in (100, 40_000, 2_400_000, 40_000_000)]
+    assert tasks == [1, 2, cores, 20]  # 64 of the third before: each sent all sums of every round
