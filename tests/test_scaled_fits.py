@@ -45,3 +45,9 @@ def test_fits_take_no_more_tasks_than_cores(spark):
     s, many, cores = models.Settings(), spark.range(1).repartition(64), spark.sparkContext.defaultParallelism
     tasks = [models._sized(many, n, s).rdd.getNumPartitions() for n in (100, 40_000, 2_400_000, 40_000_000)]
     assert tasks == [1, 2, cores, 20]  # 64 of the third before: each sent all sums of every round
+
+
+def test_features_are_made_in_tasks_of_bounded_length(pages, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 20)
+    table = models.prepare(pages)
+    assert len(table.inputFiles()) >= 6 and table.count() == 120  # one file, so one task, before
