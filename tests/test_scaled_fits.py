@@ -51,3 +51,26 @@ def test_features_are_made_in_tasks_of_bounded_length(pages, monkeypatch):
     monkeypatch.setattr(models, "ROWS_PER_TASK", 20)
     table = models.prepare(pages)
     assert len(table.inputFiles()) >= 6 and table.count() == 120  # one file, so one task, before
+
+
+def test_learners_are_fitted_side_by_side(spark, monkeypatch):
+    def together(n, result):
+        meet = threading.Barrier(n)
+
+        def run(*args, **kwargs):
+            meet.wait(timeout=20)  # breaks when one waits for the other's end
+            return result
+
+        return run
+
+    monkeypatch.setattr(models, "fit_part", together(2, "fitted"))
+    assert models.build("combined", None).parts == {"features": "fitted", "ngrams": "fitted"}
+    oof = spark.createDataFrame([(i, "u", i % 2, 0, 0.1 + 0.2 * i) for i in range(4)], "url_id bigint, url string, y int, fold int, p double")
+    monkeypatch.setattr(models, "cross_validate", together(6, (oof, 1.0)))
+    rows = models.compare(None).collect()
+    assert [(r["model"], r["split"]) for r in rows] == [(m, "by site") for m in ("v1", "features", "ngrams", "combined")] + [(m, "random") for m in ("v1", "combined")]
+    meet = threading.Barrier(2)
+    monkeypatch.setattr(models, "build", lambda *a: meet.wait(timeout=20) and None or models.Detector("v1", {}))
+    monkeypatch.setattr(models, "cross_validate", lambda *a: (meet.wait(timeout=20) and None or oof, 1.0))
+    table = models.add(oof, {"site": "url"})
+    assert models.train(table, "v1").kind == "v1"
