@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,9 @@ from .words import gram_names, mix, word_names
 _U = np.uint64
 #: bytes of text whose shingles are held at once
 SLICE_BYTES = 4 << 20
-#: pairs verified together in one group, about
+#: pairs verified together in one group, about, and bytes of their texts
 VERIFY_PAIRS = 2_000
+VERIFY_BYTES = 4 << 20
 #: nodes of a bucket on each side of a block of pairs, about
 CHUNK = 256
 
@@ -72,6 +74,28 @@ def shingles(table: pa.Table | pa.RecordBatch, text: str, size: int):
     return where[new], gram[new], weight, keys, n_words
 
 
+def slices(table: pa.Table | pa.RecordBatch, text: str) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of rows that hold SLICE_BYTES of text at most, or one longer text."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(table.column(text)), 0), "int64")
+    starts = np.r_[0, np.cumsum(sizes, dtype="int64")]
+    at = 0
+    while at < table.num_rows:
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_BYTES, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def sliced_shingles(table: pa.Table, text: str, size: int):
+    """(edges, name, weight): those of row i lie between its edges. Only a slice's words are held beside them."""
+    counts, names, weights = [np.zeros(1, "int64")], [np.zeros(0, "uint64")], [np.zeros(0, "int32")]
+    for at, to in slices(table, text):
+        doc, name, weight, _, _ = shingles(table.slice(at, to - at), text, size)
+        counts.append(np.bincount(doc, minlength=to - at))
+        names.append(name)
+        weights.append(weight.astype("int32"))
+    return np.cumsum(np.concatenate(counts)), np.concatenate(names), np.concatenate(weights)
+
+
 def signatures(doc: np.ndarray, name: np.ndarray, weight: np.ndarray, docs: int, size: int) -> np.ndarray:
     """BagMinHash: uint32 array (docs, size); rows of documents without shingles are unused."""
     # one process per shingle and dyadic range that begins below its weight
@@ -104,16 +128,12 @@ def signed(docs: DataFrame, id_column: str, text: str, bands: int, rows: int, sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = text_bytes(pa.Table.from_batches([batch]), "text")[1]
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_BYTES, side="right")) - 1)
+            for at, to in slices(batch, "text"):
                 part = batch.slice(at, to - at)
                 doc, name, weight, keys, n_words = shingles(part, "text", shingle)
                 out = signatures(doc, name, weight, part.num_rows, size)
                 lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype="int32") * size, pa.array(out.reshape(-1).view("int32")))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), lists], ["id", "mark", "n_words", "k1", "k2", "signature"])
-                at = to
 
     narrow = docs.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, "id bigint, mark bigint, n_words bigint, k1 bigint, k2 bigint, signature array<int>")
@@ -145,14 +165,20 @@ def similar(name: np.ndarray, weight: np.ndarray, s: slice, t: slice, threshold:
     return common >= threshold * (int(weight[s].sum()) + int(weight[t].sum()) - common)
 
 
+def _bytes(rows: DataFrame, node: str, texts: DataFrame) -> int:
+    """Bytes of the texts that a table of nodes will carry."""
+    sizes = texts.select(F.col("node").alias("_sized"), "bytes")
+    return rows.join(sizes, F.col(node) == F.col("_sized")).agg(F.sum("bytes")).first()[0] or 0
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose texts' weighted Jaccard index reaches the threshold.
 
     A b that has many pairs is spread: its pairs are dealt into chunks of about 64, and its text goes to
     each chunk once.
     """
-    total = pairs.count()
-    groups = max(8, total // VERIFY_PAIRS)
+    # linked texts are of like length: b's are counted like a's
+    groups = max(8, pairs.count() // VERIFY_PAIRS, 2 * _bytes(pairs, "a", texts) // VERIFY_BYTES)
     chunks = pairs.groupBy("b").agg(F.ceil(F.count("*") / 64).alias("chunks"))
     dealt = pairs.join(chunks, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), "chunks"))
     dealt = stable(dealt.select("a", "b", "chunk", F.pmod(F.xxhash64("b", "chunk"), F.lit(groups)).alias("deal")), "pairs")
@@ -160,8 +186,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
     right = dealt.select("deal", "b").distinct().join(texts, F.col("b") == F.col("node")).select("deal", "b", F.lit(None).cast("bigint").alias("a"), "text")
 
     def run(table: pa.Table) -> pa.Table:
-        doc, name, weight, _, _ = shingles(table, "text", shingle)
-        edges = np.searchsorted(doc, np.arange(table.num_rows + 1))
+        edges, name, weight = sliced_shingles(table, "text", shingle)
         a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
         leader = {y: i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is None}
         out = []
@@ -189,9 +214,9 @@ def between(held: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: floa
     one = held.where("label <> main").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), inner - 1)).alias("i"), F.pmod(F.xxhash64("node"), outer).alias("j"), F.lit(True).alias("outside"))
     two = held.select("*", F.pmod(F.xxhash64("node"), inner).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), outer - 1)).alias("j"), F.lit(False).alias("outside"))
     dealt = stable(one.unionByName(two), "blocks-of-pairs")
-    groups = max(8, dealt.count() // (4 * VERIFY_PAIRS))
+    groups = max(8, dealt.count() // (4 * VERIFY_PAIRS), _bytes(dealt, "node", texts) // VERIFY_BYTES)
     # signature and text meet once per node, then each block's row meets both
-    full = dealt.join(nodes.select("node", "signature").join(texts, "node"), "node")
+    full = dealt.join(nodes.select("node", "signature").join(texts.select("node", "text"), "node"), "node")
     full = full.select(F.pmod(F.xxhash64("bucket", "band", "i", "j"), F.lit(groups)).alias("deal"), "bucket", "band", "i", "j", "outside", "node", "label", "main", "signature", "text")
 
     def run(table: pa.Table) -> pa.Table:
@@ -216,8 +241,7 @@ def between(held: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: floa
                 ok = first & (own != told["label"][x]) & ((own == told["main"][right]) | (told["node"][x] < told["node"][right])) & (equal.sum(axis=1) >= alike)
                 found += [(x, y) for y in right[ok].tolist()]
         needed = sorted({i for pair in found for i in pair})
-        doc, name, weight, _, _ = shingles(table.select(["text"]).take(pa.array(needed, pa.int64())), "text", shingle)
-        edges = np.searchsorted(doc, np.arange(len(needed) + 1))
+        edges, name, weight = sliced_shingles(table.select(["text"]).take(pa.array(needed, pa.int64())), "text", shingle)
         at = {x: i for i, x in enumerate(needed)}
         parent: dict[int, int] = {}
 
@@ -257,7 +281,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thre
     marks = worded.select("id", "k1", "k2", "mark")
     # one text of each node: by id and mark, for ids may repeat
     named = wanted.join(marks, ["id", "k1", "k2"]).groupBy("node").agg(F.min("id").alias("id"), F.min("mark").alias("mark"))
-    texts = stable(source.join(named, ["id", "mark"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = stable(source.join(named, ["id", "mark"]).select("node", "text", F.octet_length("text").cast("bigint").alias("bytes")).dropDuplicates(["node"]), "texts")
 
     stars = stable(seats.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
     links = stable(verified(stars, texts, threshold, shingle), "links")

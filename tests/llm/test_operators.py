@@ -345,3 +345,23 @@ def test_site_means_shrink(spark):
 
 def test_every_operator_has_a_query():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
+
+
+def test_shingles_by_slices_are_those_of_the_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    table = pa.table({"text": pa.chunked_array([["a b c d e f g a b c d e", None, "", "É é"], ["x " * 50, "1 2 3 4 5 6"]])})
+    doc, name, weight, _, _ = near_dups.shingles(table, "text", 5)
+    monkeypatch.setattr(near_dups, "SLICE_BYTES", 8)
+    assert len(list(near_dups.slices(table, "text"))) > 3
+    edges, names, weights = near_dups.sliced_shingles(table, "text", 5)
+    assert np.array_equal(edges, np.searchsorted(doc, np.arange(table.num_rows + 1)))
+    assert np.array_equal(names, name) and np.array_equal(weights, weight)
+
+
+def test_near_dup_groups_go_by_bytes(spark):
+    sizes = spark.createDataFrame([(1, 3 << 20), (2, 5)], "node bigint, bytes bigint")
+    seats = spark.createDataFrame([(1,), (1,), (2,), (3,)], "a bigint")
+    assert near_dups._bytes(seats, "a", sizes) == (6 << 20) + 5
+    assert near_dups._bytes(seats.where("a > 5"), "a", sizes) == 0
