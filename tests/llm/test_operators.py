@@ -365,3 +365,24 @@ def test_near_dup_groups_go_by_bytes(spark):
     seats = spark.createDataFrame([(1,), (1,), (2,), (3,)], "a bigint")
     assert near_dups._bytes(seats, "a", sizes) == (6 << 20) + 5
     assert near_dups._bytes(seats.where("a > 5"), "a", sizes) == 0
+
+
+def test_query_packs_are_bounded_and_floor_keeps_the_best(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    chosen = spark.range(5).selectExpr("id AS query", "sequence(1L, 100000L) AS names", "transform(sequence(1, 100000), x -> CAST(x AS DOUBLE)) AS idfs").coalesce(1)
+    packs = search.packed_queries(chosen).collect()
+    assert [p.words for p in packs] == [200_000, 200_000, 100_000] and len({p.pack for p in packs}) == 3
+    assert [q for p in packs for q in search.from_body(p.body).column("query").to_pylist()] == [0, 1, 2, 3, 4]
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 60) for _ in range(400)]
+    made = search._index(pa.table({"text": texts}))
+    lists = search.Lists({c: np.asarray(made[c]) for c in ("name", "from", "doc", "tf", "length")}, 40.0, list(range(400)))
+    names, idfs = made["name"], np.log(400 / np.diff(made["from"])) + 0.1
+    best = lists.best(names, idfs, 10)
+    for score, _ in best:
+        kept = [x for x in lists.best(names, idfs, 10, score) if x[0] >= score]
+        assert kept == [x for x in best if x[0] >= score]
+    assert [x for x in lists.best(names, idfs, 10, best[0][0] + 1) if x[0] > best[0][0]] == []
