@@ -8,6 +8,7 @@ from lurescan.functions.skeleton import skeletons, with_base_forms
 from lurescan.functions.text import add
 from lurescan.operators.generate import brand_group, brand_homes, lookalikes
 from lurescan.operators.lookalike import explode_findings, find
+from lurescan.operators import lookalike_join
 from lurescan.operators.lookalike_join import find_by_keys
 from lurescan.operators.parts import with_parts
 from lurescan.operators.profile import detection_rates
@@ -102,3 +103,24 @@ def test_key_joins_take_brands_of_any_length(spark, urls):
     rows = with_parts(urls(["http://averylongbrandnameinded.com/", "http://ab.com/", "http://averylongbrandnameindeed.test/"]))
     got = {(r["url_id"], r["brand"], r["technique"]) for r in find_by_keys(rows, brands).collect()}
     assert got == {(0, names[1], "typosquat"), (1, "ab", "unofficial-domain")}
+
+
+def test_a_brand_table_is_worked_out_once_and_long_ones_filtered(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    shape = "ord int, brand string, official array<string>, home string, word_only boolean"
+    brands = spark.createDataFrame([tuple(b) for b in dims.BRANDS], shape)
+    rows = spark.createDataFrame(list(enumerate(["http://paypa1.com/login", "http://paypall.com/x", "http://a.com/paypal", "http://paypal.a.com/", "", None])), "url_id bigint, url string")
+    expected = sorted(map(str, find_by_keys(rows, brands).collect()))
+    monkeypatch.setattr(lookalike_join, "MOST_BITS", 0)  # as for a table with more keys than the filter holds
+    assert sorted(map(str, find_by_keys(rows, brands.mapInArrow(counted, shape)).collect())) == expected and len(expected) > 3
+    assert seen.value == len(dims.BRANDS)
+    keys = spark.createDataFrame([("9:paypal",)], "key string")
+    assert lookalike_join._among(spark.range(2000).select(F.concat_ws(":", F.lit("9"), "id").alias("key")).union(keys), keys).collect() == keys.collect()
