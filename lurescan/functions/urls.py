@@ -6,6 +6,7 @@ from .text import C0_AND_SPACE, DIGIT, is_ascii, quote, trim_space
 
 # scheme, authority, path, query; the fragment is matched and dropped
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+_SCHEME = r"\A[A-Za-z][A-Za-z0-9+.\-]*\z"
 _INSIDE = r"\[([^\]]*)"
 _PORT = r"(?s)^(?:\[[^\]]*\])?[^:]*:(.*)$"
 _BRACKETED = r"^\[([^\]]*)\]"
@@ -30,6 +31,13 @@ def _group(url: str, n: int) -> str:
     return f"regexp_extract({url}, {quote(_SPLIT)}, {n})"
 
 
+def leading_scheme(front: str) -> str:
+    """The scheme that a URL without query and fragment begins with, as it stands; '' without one."""
+    name = f"substring_index({front}, ':', 1)"
+    named = f"contains({front}, ':') AND ({name} IN ('http', 'https') OR {name} RLIKE {quote(_SCHEME)})"
+    return f"IF({front} IS NULL OR ({named}), {name}, '')"
+
+
 def scheme_of(url: str) -> str:
     return f"lower({_group(url, 1)})"
 

@@ -10,7 +10,7 @@ from lurescan.operators.generate import brand_group, brand_homes, lookalikes
 from lurescan.operators.lookalike import explode_findings, find
 from lurescan.operators import lookalike_join
 from lurescan.operators.lookalike_join import find_by_keys
-from lurescan.operators.parts import with_parts
+from lurescan.operators.parts import split_front, with_parts
 from lurescan.operators.profile import detection_rates
 
 POSITIVE = """
@@ -124,3 +124,17 @@ def test_a_brand_table_is_worked_out_once_and_long_ones_filtered(spark, monkeypa
     assert seen.value == len(dims.BRANDS)
     keys = spark.createDataFrame([("9:paypal",)], "key string")
     assert lookalike_join._among(spark.range(2000).select(F.concat_ws(":", F.lit("9"), "id").alias("key")).union(keys), keys).collect() == keys.collect()
+
+
+def test_a_url_is_split_by_delimiters_as_by_the_expression(spark):
+    from lurescan.functions import urls as U
+
+    rng = random.Random(5)
+    parts = [*"aB1:/?#@[].+-%  \t\n\u0085\u00e9", "://", "//", "http", "HTTPS:", "http://"]
+    urls = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([*enumerate(urls), (-1, None)], "url_id bigint, url string")
+    clean = U.drop_unsafe(U.with_scheme("url"))
+    expected = add(rows, {"scheme": U.scheme_of(clean), "authority": U.authority_of(clean), "path": U.path_of(clean), "query": U.query_of(clean)})
+    got = split_front(rows)
+    assert got.columns == expected.columns and sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString()
