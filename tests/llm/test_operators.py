@@ -386,3 +386,47 @@ def test_query_packs_are_bounded_and_floor_keeps_the_best(spark):
         kept = [x for x in lists.best(names, idfs, 10, score) if x[0] >= score]
         assert kept == [x for x in best if x[0] >= score]
     assert [x for x in lists.best(names, idfs, 10, best[0][0] + 1) if x[0] > best[0][0]] == []
+
+
+@pytest.mark.parametrize("sizes", [{}, {"CELLS": 2_000, "CELLS_IN_BATCH": 2_500, "POSTS_AT_ONCE": 300, "STRETCHES_AT_ONCE": 1}])
+def test_search_of_a_batch_equals_scoring_everything(monkeypatch, sizes):
+    import numpy as np
+    import pyarrow as pa
+
+    for name, value in sizes.items():
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.2, int(rng.integers(0, 120))) % 3_000) for _ in range(300)]
+    texts += texts[:40] + ["", "w1", "w1"]
+    ids = [None if i % 17 == 3 else 1_000 - i for i in range(len(texts))]
+    made = search._index(pa.table({"text": texts}))
+    lists = search.Lists({c: np.asarray(made[c]) for c in ("name", "from", "doc", "tf", "length")}, 50.0, ids)
+    assert 0 < len(lists.rows) < len(lists.names)
+    names, idfs = np.r_[made["name"], np.uint64(7)], np.r_[np.log(400 / np.diff(made["from"])) + 0.1, 1.0]  # the last one in no document
+    term = np.repeat(np.arange(len(lists.count)), lists.count)
+    queries = [np.sort(np.r_[term[made["doc"] == d], len(names) - 1]) for d in range(0, len(texts), 5)]
+    words, ends = np.concatenate(queries), np.cumsum([len(q) for q in queries])
+    gains = np.zeros((len(names), len(texts)))
+    gains[term, made["doc"]] = lists.gain
+    expected = {}
+    for q, query in enumerate(queries):
+        scores = idfs[query] @ gains[query]
+        hits = sorted((-round(float(s), 6), i) for s, i in zip(scores, ids, strict=True) if i is not None and s > 0)
+        expected |= {q: [(-s, i) for s, i in hits[:10]]} if hits else {}
+    none = np.full(len(queries), -math.inf)
+    assert lists.best_of_each(names, idfs, words, ends, 10, none) == expected
+    # floors may hide only what is below them
+    floor = np.array([expected[q][len(expected[q]) // 2][0] if q in expected else 5.0 for q in range(len(queries))])
+    got = lists.best_of_each(names, idfs, words, ends, 10, floor)
+    for q, hits in expected.items():
+        assert [x for x in got.get(q, []) if x[0] >= floor[q]] == [x for x in hits if x[0] >= floor[q]]
+    beyond = lists.best_of_each(names, idfs, words, ends, 10, floor * 100)
+    assert not any(s >= floor[q] * 100 for q, hits in beyond.items() for s, _ in hits)
+
+
+def test_query_packs_hold_each_word_once(spark):
+    chosen = spark.range(4).selectExpr("id AS query", "sequence(id, 1000L) AS names", "transform(sequence(id, 1000L), x -> CAST(x AS DOUBLE) / 8) AS idfs").coalesce(1)
+    (pack,) = search.packed_queries(chosen).collect()
+    terms, body = search.from_body(pack.terms).to_pydict(), search.from_body(pack.body).to_pydict()
+    assert len(set(terms["name"])) == len(terms["name"]) == 1001
+    assert all([terms["name"][w] for w in words] == list(range(q, 1001)) and [terms["idf"][w] * 8 for w in words] == list(range(q, 1001)) for q, words in zip(body["query"], body["words"], strict=True))
