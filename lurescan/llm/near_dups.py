@@ -43,7 +43,7 @@ from .words import gram_names, mix, word_names
 
 _U = np.uint64
 #: bytes of text whose shingles are held at once
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: pairs verified together in one group, about, and bytes of their texts
 VERIFY_PAIRS = 2_000
 VERIFY_BYTES = 4 << 20
