@@ -74,3 +74,49 @@ def test_learners_are_fitted_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(models, "cross_validate", lambda *a: (meet.wait(timeout=20) and None or oof, 1.0))
     table = models.add(oof, {"site": "url"})
     assert models.train(table, "v1").kind == "v1"
+
+
+def test_grams_are_looked_up_once_for_all_folds(spark, pages, monkeypatch):
+    table = models.add(models.profile.with_label(pages), {"site": "url"})
+    seen, real = [], models.fit_part
+
+    def fit(part, train, s, vocabulary):
+        assert {"_ids", "_tf"} <= set(train.columns) and "_grams" not in train.columns  # each fold's passes did it before
+        seen.append((part, train, vocabulary))
+        return real(part, train, s, vocabulary)
+
+    monkeypatch.setattr(models, "fit_part", fit)
+    oof, _ = models.cross_validate(table, "ngrams", 2, True, models.Settings(iterations=3))
+    assert oof.count() == 120 and len(seen) == 2
+    for _, train, v in seen:
+        by_id = {r["url"]: r["features"] for r in models.gram_vectors(train, v.terms, v.idf, v.places).collect()}
+        plain = {r["url"]: r["features"] for r in models.gram_vectors(train.select("url"), v.terms, v.idf).collect()}
+        assert by_id == plain and len(plain) > 20
+
+
+def test_fits_side_by_side_keep_no_more_vectors_than_fit():
+    order, go = [], threading.Event()
+
+    def first():
+        with models._cells(80, 100):
+            order.append("first in")
+            go.wait(timeout=20)
+            order.append("first out")
+
+    def second():
+        with models._cells(30, 100):
+            order.append("second in")
+
+    a, b = threading.Thread(target=first), threading.Thread(target=second)
+    a.start()
+    while not order:
+        pass
+    with models._cells(20, 100):  # fits beside the first
+        order.append("small in")
+    b.start()
+    b.join(timeout=0.3)
+    go.set()
+    a.join(), b.join(timeout=20)
+    assert order == ["first in", "small in", "first out", "second in"]
+    with models._cells(500, 100):  # alone, any size goes
+        pass
