@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lurescan import dims
-from lurescan.functions.distance import osa, osa_within, swapped_pairs_of
+from lurescan.functions.distance import osa, osa_table, osa_within, swapped_pairs_of
 from lurescan.functions.skeleton import skeletons, with_base_forms
 from lurescan.functions.text import add
 from lurescan.operators.generate import brand_group, brand_homes, lookalikes
@@ -138,3 +138,38 @@ def test_a_url_is_split_by_delimiters_as_by_the_expression(spark):
     got = split_front(rows)
     assert got.columns == expected.columns and sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
     assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distance_within_matches_brute_force(spark):
+    """Pairs whose swaps, lengths and letters are near the limit, each with the table alone."""
+    r = random.Random(5)
+    near = []
+    for _ in range(1500):
+        a = [r.choice("abcd") for _ in range(r.randrange(1, 9))]
+        b = a[:]
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(b)) if b else 0
+            kind = r.randrange(4)
+            if kind == 0 and at + 1 < len(b):
+                b[at], b[at + 1] = b[at + 1], b[at]
+            elif kind == 1:
+                b.insert(at, r.choice("abcde"))
+            elif b:
+                b[at : at + 1] = [] if kind == 2 else [r.choice("abcde")]
+        near.append(("".join(a), "".join(b), 1 + r.randrange(2)))
+    df = spark.createDataFrame(near, "a string, b string, k int")
+    got = df.selectExpr(f"{osa_within('a', 'b', 'k', swapped_pairs_of('b'))} AS within", f"{osa_table('a', 'b')} <= k AS plain").collect()
+    assert [x["within"] for x in got] == [x["plain"] for x in got] and 100 < sum(x["plain"] for x in got) < 1400
+
+
+def test_distances_are_worked_out_in_dealt_tasks(spark, monkeypatch):
+    """A filter on the distance stays above the dealing of pairs into tasks; below it before."""
+    monkeypatch.setattr(lookalike_join, "PAIRS_IN_TASK", 5)
+    monkeypatch.setattr(lookalike_join, "KEYED_IN_TASK", 5)
+    words = ["".join(random.Random(i).choices("abcdefgh", k=9)) for i in range(40)]
+    brands = spark.createDataFrame([(i, w, [f"{w}.test"], f"{w}.test", False) for i, w in enumerate(words)], "ord int, brand string, official array<string>, home string, word_only boolean")
+    labels = spark.createDataFrame([(w[:3] + w[4] + w[3] + w[5:],) * 2 for w in words], "domain string, shown string")
+    found = lookalike_join.label_findings(lookalike_join.stable(labels, "labels"), lookalike_join.stable(brands, "brands"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and "levenshtein" not in plan.split("Repartition", 1)[1]
+    assert {(r["domain"], r["brand"]) for r in found.collect()} >= {(w[:3] + w[4] + w[3] + w[5:], w) for w in words if w[3] != w[4]}
