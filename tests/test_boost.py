@@ -9,7 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lurescan import dims
-from lurescan.plans import boost, models, persist
+from lurescan.operators.folds import hash_rank
+from lurescan.plans import boost, importance, models, persist
 from lurescan.plans.storage import scratch_path, stable
 
 NAMES = ("a", "b", "c", "d")
@@ -93,3 +94,35 @@ def test_odd_tables(spark, rows):
     detector = models.Detector("features", {"features": models.TreeModel(NAMES, flat)}, {"cv": 1})
     again = persist.load(spark, persist.save(spark, detector, scratch_path(spark, "boost-detector")))
     assert again.parts["features"].model.getNumTrees == 3
+
+
+def test_importance_scores_only_what_differs(spark, rows):
+    """The drops are those of scoring every copy."""
+    named = rows.selectExpr("id AS url_id", "y", *[n for n in NAMES])
+    model = models.TreeModel(NAMES, boost.fit(rows, NAMES, learner(), False, 1))
+    seen, real = [], model.model
+
+    class Counting:
+        def transform(self, df):
+            seen.append(df.count())
+            return real.transform(df)
+
+    found = importance.permutation_importance(models.TreeModel(NAMES, Counting()), named, repeats=2).collect()
+    # a row each, then copies: d is constant, b has five values, of the others one in 900 copies may pair a row with itself
+    assert seen[0] == 900 and all(900 * 2 < n < 900 * 3 for n in seen[1:]) and len(seen) == 3
+    base = {r["url_id"]: r for r in named.collect()}
+    ranked = lambda s: {r["_row"]: r["url_id"] for r in hash_rank(named.select("url_id"), "_row", "url_id", s).collect()}
+    mine, drops = ranked("42-row"), {n: [] for n in NAMES}
+    p = scores(real, rows)
+
+    def area(by_id):
+        pairs = [(by_id[i], base[i]["y"]) for i in base]
+        up, down = [x for x, y in pairs if y == 1], [x for x, y in pairs if y == 0]
+        return sum((a > b) + (a == b) / 2 for a in up for b in down) / (len(up) * len(down))
+
+    for s in range(2):
+        donors = ranked(f"42-{s}")
+        for n in NAMES:
+            given = [(mine[k], *[float(base[donors[k] if c == n else mine[k]][c]) for c in NAMES]) for k in mine]
+            drops[n].append(area(p) - area(scores(real, spark.createDataFrame(given, "id int, a double, b double, c double, d double"))))
+    assert {r["feature"]: r["drop"] for r in found} == {n: pytest.approx(sum(d) / 2, abs=2e-6) for n, d in drops.items()}
