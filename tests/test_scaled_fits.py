@@ -120,3 +120,18 @@ def test_fits_side_by_side_keep_no_more_vectors_than_fit():
     assert order == ["first in", "small in", "first out", "second in"]
     with models._cells(500, 100):  # alone, any size goes
         pass
+
+
+def test_out_of_time_scores_a_shared_learner_once(spark, pages, monkeypatch):
+    table = models.prepare(pages)
+    s = models.Settings(trees=4, forest_depth=4, rounds=3, boost_depth=3, bins=32, iterations=3)
+    both = models.build("combined", table, s)
+    kinds = {"v1": models.build("v1", table, s), "combined": both, "ngrams": models.Detector("ngrams", {"ngrams": both.parts["ngrams"]}, {"threshold": 0.6})}
+    urls = pages.selectExpr("IF(url_id % 3 = 0, 'a', 'b') AS source", "url").unionByName(spark.createDataFrame([("a", "http://[abc"), ("b", ""), ("b", None), (None, "http://x.org")], "source string, url string"))
+    parses, scores, parse, score = [], [], models.with_parts, models.GramModel.score
+    plain = {(n, r["source"], r["threshold"]): (r["n"], r["reached"], r["share"]) for n, d in kinds.items() for r in models.evaluate.share_at(d.score_urls(urls), sorted({0.5, d.threshold})).collect()}
+    monkeypatch.setattr(models, "with_parts", lambda df: parses.append(1) or parse(df))
+    monkeypatch.setattr(models.GramModel, "score", lambda *a: scores.append(1) or score(*a))
+    found = {(r["model"], r["source"], r["threshold"]): (r["n"], r["reached"], r["share"]) for r in models.out_of_time(kinds, urls).collect()}
+    assert found == plain and len(found) == 12
+    assert (len(parses), len(scores)) == (1, 1)  # three and two before
